@@ -86,6 +86,22 @@ vocab AS (
     (VALUES (0, '<unk>', 'UNKNOWN'), (1, '<s>', 'CONTROL'), (2, '</s>', 'CONTROL')) s(id, piece, type))"""
 
 
+def corpus_vocab(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """piece_id, piece: the unknown piece and the `size` most frequent words of the corpus."""
+    counts = lang_counts(spark, sf_dir).groupBy("token").agg(F.sum("cnt").alias("cnt"))
+    top = counts.orderBy(F.col("cnt").desc(), "token").limit(size)
+    packed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("n"), "token"))).alias("t"))
+    return packed.select(F.posexplode(F.concat(F.array(F.lit("<unk>")), F.col("t.token"))).alias("piece_id", "piece"))
+
+
+def corpus_vocab_sql(size: int) -> str:
+    return LANG_COUNTS_SQL + f""",
+corpus_vocab AS (
+  SELECT CAST(row_number() OVER (ORDER BY sum(cnt) DESC, token) AS INTEGER) AS piece_id, token AS piece FROM freq GROUP BY token
+  QUALIFY piece_id <= {size}
+  UNION ALL SELECT 0, '<unk>')"""
+
+
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, doc_id, pos, ids: every non-blank line as ids of its space-separated words.
 

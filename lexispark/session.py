@@ -16,6 +16,7 @@ def local_session(cores: int | str = 8, app: str = "lexispark", **extra: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         **extra,
     }
