@@ -51,28 +51,29 @@ def align_labels(
     first piece of its word.
     """
     rows = df.withColumn("_labels", labels.scalar())
-    words = F.arrays_zip(F.col(tags).alias("tag"), F.col(n_pieces).alias("n"))
+    room = F.lit(max_length - 2)
+    # Every word that counts has a piece, so no more words than `room` can matter.
+    words = F.zip_with(tags, n_pieces, lambda t, n: F.struct(t.alias("tag"), n.alias("n")))
+    rows = rows.withColumn("_words", F.slice(F.filter(words, lambda w: w["n"] > 0), F.lit(1), room))
 
     def of_word(w: Column) -> Column:
         first = label_id(F.col("_labels"), w["tag"])
         rest = inside_id(F.col("_labels"), w["tag"]) if label_all_pieces else F.lit(IGNORED)
-        return F.when(w["n"] > 0, F.concat(F.array(first), F.array_repeat(rest, w["n"] - 1))).otherwise(F.array().cast("array<int>"))
+        return F.concat(F.array(first), F.array_repeat(rest, w["n"] - 1))
 
     special = F.array(F.lit(IGNORED))
-    room = F.lit(max_length - 2)
-    # Word number of every piece, then the number of pieces of earlier words, both without a loop over pieces.
     starts = F.aggregate(
-        F.col(n_pieces),
+        F.col("_words.n"),
         F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at")),
         lambda s, n: F.struct(
             (s["next"] + n).alias("next"), F.concat(s["at"], F.array_repeat(s["next"], n)).alias("at")
         ),
         lambda s: s["at"],
     )
-    rows = rows.withColumn("_piece_labels", F.slice(F.flatten(F.transform(words, of_word)), F.lit(1), room))
+    rows = rows.withColumn("_piece_labels", F.slice(F.flatten(F.transform("_words", of_word)), F.lit(1), room))
     rows = rows.withColumn("_starts", F.slice(starts, F.lit(1), room))
     return (
         rows.withColumn("label_ids", F.concat(special, F.col("_piece_labels"), special))
         .withColumn("first_piece", F.concat(F.array(F.lit(0)), F.col("_starts"), F.array(F.size("_starts") + 1)))
-        .drop("_labels", "_piece_labels", "_starts")
+        .drop("_labels", "_words", "_piece_labels", "_starts")
     )

@@ -8,8 +8,10 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import draw_key
+from ..session import checkpointed
 from .ordering import running_total
 
 # Bootstrap replicates per regime, and the model families of the focused views.
@@ -17,31 +19,40 @@ REPLICATES = {"in": 100, "en_all": 300, "en_other": 300, "cross": 30}
 FAMILIES = ("Chung", "beta", "k_")
 
 
-def in_regime(regime: str, pivot: Column) -> Column:
-    """Which rows a regime looks at; `pivot` is the language transfer starts from."""
-    src, tgt = F.col("lang_src"), F.col("lang_tgt")
-    return {
+def with_regimes(results: DataFrame, pivot: Column, regimes: Sequence[str] = tuple(REPLICATES)) -> DataFrame:
+    """One row per result and regime it belongs to; `pivot` is the language transfer starts from.
+
+    Every regime is then computed in the same pass, grouped by `regime`. Within a regime the pair
+    (lang_src, lang_tgt) says as much as the one language that varies, so pairs serve as cells throughout.
+    """
+    src, tgt, start = F.col("lang_src"), F.col("lang_tgt"), F.col("_start")
+    tests = {
         "in": src == tgt,
-        "en_all": src == pivot,
-        "en_other": (src == pivot) & (tgt != pivot),
+        "en_all": src == start,
+        "en_other": (src == start) & (tgt != start),
         "cross": src != tgt,
-    }[regime]
+    }
+    tags = F.array_compact(F.array(*[F.when(tests[r], F.lit(r)) for r in regimes]))
+    return results.withColumn("_start", pivot).withColumn("regime", F.explode(tags)).drop("_start")
 
 
-def model_means(results: DataFrame) -> DataFrame:
-    return results.groupBy("model").agg(F.avg("value").alias("mean_value"))
+def model_means(results: DataFrame, keys: Sequence[str] = ("regime",)) -> DataFrame:
+    return results.groupBy(*keys, "model").agg(F.avg("value").alias("mean_value"))
 
 
-def bootstrap(results: DataFrame, replicates: int, cell: Sequence[str]) -> DataFrame:
-    """model, replicate, mean_value: each replicate draws one seed per cell and averages the cells."""
-    rows = results.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draw = draw_key(*[F.col(c) for c in ("model", *cell, "replicate", "seed")])
-    picks = rows.groupBy("model", *cell, "replicate").agg(F.min_by("value", draw).alias("value"))
-    return picks.groupBy("model", "replicate").agg(F.avg("value").alias("mean_value"))
+def bootstrap(results: DataFrame, replicates: dict[str, int] = REPLICATES) -> DataFrame:
+    """regime, model, replicate, mean_value: each replicate draws one seed per cell and averages the cells."""
+    last = F.lit(0)
+    for regime, n in replicates.items():
+        last = F.when(F.col("regime") == regime, n - 1).otherwise(last)
+    rows = results.withColumn("replicate", F.explode(F.sequence(F.lit(0), last)))
+    draw = draw_key(*[F.col(c) for c in ("model", "lang_src", "lang_tgt", "replicate", "seed")])
+    picks = rows.groupBy("regime", "model", "lang_src", "lang_tgt", "replicate").agg(F.min_by("value", draw).alias("value"))
+    return picks.groupBy("regime", "model", "replicate").agg(F.avg("value").alias("mean_value"))
 
 
 def replicate_spread(replicates: DataFrame) -> DataFrame:
-    return replicates.groupBy("model").agg(
+    return replicates.groupBy("regime", "model").agg(
         F.avg("mean_value").alias("boot_mean"), F.stddev_samp("mean_value").alias("boot_sd")
     )
 
@@ -49,7 +60,7 @@ def replicate_spread(replicates: DataFrame) -> DataFrame:
 def display_range(means: DataFrame) -> DataFrame:
     """The span of the means, extended by its own width on both sides."""
     low, high = F.min("mean_value"), F.max("mean_value")
-    return means.agg((low - (high - low)).alias("y_min"), (high + (high - low)).alias("y_max"))
+    return means.groupBy("regime").agg((low - (high - low)).alias("y_min"), (high + (high - low)).alias("y_max"))
 
 
 def with_language_stats(results: DataFrame, stats: DataFrame) -> DataFrame:
@@ -91,24 +102,29 @@ def language_adjusted(results: DataFrame, columns: Sequence[str], by: Sequence[s
     return joined.drop(*[f"_mean_{c}" for c in columns])
 
 
-def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Add the rank of each value; equal values share their mean rank.
+def average_ranks(df: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, value, `name`: the rank of each distinct value; equal values share their mean rank.
 
     Ranks come from the table of distinct values, added up over 1,024 ranges of the value.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("_m"))
-    low, high = df.agg(F.min(value)).scalar(), df.agg(F.max(value)).scalar()
-    spot = F.coalesce(F.floor((F.col(value) - low) / F.nullif(high - low, F.lit(0.0)) * 1023), F.lit(0))
-    ranked = running_total(counts, "_m", [value], spot, name="_smaller")
-    ranks = ranked.select(value, (F.col("_smaller") + (F.col("_m") + 1) / 2).alias(name))
-    return df.join(ranks, value)
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_m"))
+    ends = counts.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
+    place = (F.col(value) - F.col("_e.low")) / F.nullif(F.col("_e.high") - F.col("_e.low"), F.lit(0.0))
+    ranked = running_total(
+        counts.withColumn("_e", ends), "_m", [value], F.coalesce(F.floor(place * 1023), F.lit(0)), keys, "_smaller"
+    )
+    return ranked.select(*keys, value, (F.col("_smaller") + (F.col("_m") + 1) / 2).alias(name))
 
 
-def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
-    """n, pearson, spearman over rows where both sides are known."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    ranked = average_ranks(average_ranks(rows, x, "_rx"), y, "_ry")
-    return ranked.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
+def correlations(df: DataFrame, x: str, y: str, keys: Sequence[str] = ("regime",)) -> DataFrame:
+    """n, pearson, spearman per `keys` over rows where both sides are known."""
+    # Read seven times below, so it is computed once and written to the shared folder.
+    rows = checkpointed(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y))
+    rank_x, rank_y = average_ranks(rows, x, "_rx", keys), average_ranks(rows, y, "_ry", keys)
+    ranked = rows.join(rank_x, [*keys, x]).join(rank_y, [*keys, y])
+    return ranked.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman")
+    )
 
 
 def _tail(r: float, n: int) -> float:
@@ -150,7 +166,7 @@ def _tail(r: float, n: int) -> float:
 
 
 def with_p_values(correlation_row: DataFrame) -> DataFrame:
-    """Add p-values to the one row of `correlations`."""
+    """Add p-values to the rows of `correlations`: one row per group, so plain Python is enough."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -158,12 +174,13 @@ def with_p_values(correlation_row: DataFrame) -> DataFrame:
                 batch[f"{c}_p"] = [_tail(r, n) for r, n in zip(batch[c], batch["n"])]
             yield batch
 
-    return correlation_row.mapInPandas(add, "n long, pearson double, spearman double, pearson_p double, spearman_p double")
+    added = T.StructType([T.StructField(f"{c}_p", T.DoubleType()) for c in ("pearson", "spearman")])
+    return correlation_row.mapInPandas(add, T.StructType(correlation_row.schema.fields + added.fields))
 
 
-def series(df: DataFrame, value: str = "value") -> DataFrame:
+def series(df: DataFrame, value: str = "value", keys: Sequence[str] = ("regime",)) -> DataFrame:
     """Mean per (lang_tgt, model): the points of the line charts."""
-    return df.groupBy("lang_tgt", "model").agg(F.avg(value).alias("mean_value"), F.count(value).alias("n"))
+    return df.groupBy(*keys, "lang_tgt", "model").agg(F.avg(value).alias("mean_value"), F.count(value).alias("n"))
 
 
 def _poisson_bounds() -> list[str]:

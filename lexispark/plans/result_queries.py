@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..operators import results as rs
@@ -12,23 +10,17 @@ from . import views as v
 from .registry import query
 
 REGIME_SQL = v.RESULTS_SQL + """,
-pivot AS (SELECT n_name AS en FROM nation WHERE n_nationkey = 0),
+start_lang AS (SELECT n_name AS en FROM nation WHERE n_nationkey = 0),
 regimes AS (
   SELECT 'in' AS regime, results.* FROM results WHERE lang_src = lang_tgt
-  UNION ALL SELECT 'en_all', results.* FROM results, pivot WHERE lang_src = en
-  UNION ALL SELECT 'en_other', results.* FROM results, pivot WHERE lang_src = en AND lang_tgt <> en
+  UNION ALL SELECT 'en_all', results.* FROM results, start_lang WHERE lang_src = en
+  UNION ALL SELECT 'en_other', results.* FROM results, start_lang WHERE lang_src = en AND lang_tgt <> en
   UNION ALL SELECT 'cross', results.* FROM results WHERE lang_src <> lang_tgt)"""
-REGIMES = ("in", "en_all", "en_other", "cross")
-SEED_MEANS = {"in": ["lang_tgt"], "en_all": ["lang_tgt"], "en_other": ["lang_tgt"], "cross": ["lang_src", "lang_tgt"]}
-
-
-def regime(spark, d, name):
-    return v.results(spark, d).where(rs.in_regime(name, v.pivot_language(spark, d).scalar()))
 
 
-def each_regime(spark, d, fn, names=REGIMES):
-    parts = [fn(regime(spark, d, name), name).withColumn("regime", F.lit(name)) for name in names]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def by_regime(spark, d, *names):
+    pivot = v.pivot_language(spark, d).scalar()
+    return rs.with_regimes(v.results(spark, d), pivot, names or tuple(rs.REPLICATES))
 
 
 def rounded(df, *columns, digits=9):
@@ -37,71 +29,66 @@ def rounded(df, *columns, digits=9):
 
 @query("q_results_mean", f"WITH {REGIME_SQL} SELECT regime, model, round(avg(value), 9) AS mean_value FROM regimes GROUP BY ALL")
 def results_mean(spark, d):
-    return rounded(each_regime(spark, d, lambda r, _: rs.model_means(r)), "mean_value")
+    return rounded(rs.model_means(by_regime(spark, d)), "mean_value")
 
 
 BOOT_SQL = REGIME_SQL + """,
 reps AS (SELECT r.*, unnest(range(CASE regime WHEN 'in' THEN 100 WHEN 'cross' THEN 30 ELSE 300 END)) AS replicate FROM regimes r),
 picks AS (
   SELECT regime, model, lang_src, lang_tgt, replicate,
-    arg_min(value, md5(CASE WHEN regime = 'cross' THEN concat_ws(':', model, lang_src, lang_tgt, replicate, seed) ELSE concat_ws(':', model, lang_tgt, replicate, seed) END)) AS value
+    arg_min(value, md5(concat_ws(':', model, lang_src, lang_tgt, replicate, seed))) AS value
   FROM reps GROUP BY ALL),
 boot AS (SELECT regime, model, replicate, avg(value) AS m FROM picks GROUP BY ALL)"""
 
 
 @query("q_bootstrap", f"WITH {BOOT_SQL} SELECT regime, model, round(avg(m), 9) AS boot_mean, round(stddev_samp(m), 9) AS boot_sd FROM boot GROUP BY ALL")
 def bootstrap(spark, d):
-    def spread(r, name):
-        return rs.replicate_spread(rs.bootstrap(r, rs.REPLICATES[name], SEED_MEANS[name]))
-
-    return rounded(each_regime(spark, d, spread), "boot_mean", "boot_sd")
+    return rounded(rs.replicate_spread(rs.bootstrap(by_regime(spark, d))), "boot_mean", "boot_sd")
 
 
 @query("q_display_range", f"""WITH {REGIME_SQL}, means AS (SELECT regime, model, avg(value) AS m FROM regimes GROUP BY ALL)
 SELECT regime, round(2 * min(m) - max(m), 9) AS y_min, round(2 * max(m) - min(m), 9) AS y_max FROM means GROUP BY regime""")
 def display_range(spark, d):
-    return rounded(each_regime(spark, d, lambda r, _: rs.display_range(rs.model_means(r))), "y_min", "y_max")
+    return rounded(rs.display_range(rs.model_means(by_regime(spark, d))), "y_min", "y_max")
 
 
 TOK_SQL = f"{REGIME_SQL}, {v.TOK_STATS_SQL}, {v.CROSS_STATS_SQL}"
 
 
 @query("q_tok_join", f"""WITH {TOK_SQL}
-SELECT r.model, r.seed, r.lang_src, r.lang_tgt, round(r.value, 6) AS value_results, round(t.value, 6) AS value_tok, n_rows, data_amount_rank, round(overlap, 6) AS overlap
+SELECT r.model, r.seed, r.lang_src, r.lang_tgt, round(r.value, 9) AS value_results, round(t.value, 9) AS value_tok, n_rows, data_amount_rank, round(overlap, 9) AS overlap
 FROM results r LEFT JOIN tok_stats t ON r.model = t.model AND r.lang_tgt = t.lang
 LEFT JOIN cross_stats c ON r.model = c.model AND r.lang_src = c.lang_src AND r.lang_tgt = c.lang_tgt""")
 def tok_join(spark, d):
     joined = rs.with_language_stats(v.results(spark, d), v.tok_stats(spark, d))
     joined = rs.with_pair_stats(joined, v.cross_stats(spark, d))
-    out = rounded(joined, "value_results", "value_tok", "overlap", digits=6)
+    out = rounded(joined, "value_results", "value_tok", "overlap")
     return out.orderBy("data_amount_rank", "model")
 
 
 @query("q_baseline_delta", f"""WITH {REGIME_SQL},
 base AS (SELECT regime, CASE WHEN regime = 'cross' THEN lang_src END AS s, lang_tgt, avg(value) AS b FROM regimes WHERE model = '{v.BASELINE}' GROUP BY ALL)
-SELECT r.regime, model, seed, lang_src, r.lang_tgt, round(value, 6) AS value, round(b, 9) AS value_baseline, round(value - b, 9) AS value_delta
+SELECT r.regime, model, seed, lang_src, r.lang_tgt, round(value, 9) AS value, round(b, 9) AS value_baseline, round(value - b, 9) AS value_delta
 FROM regimes r LEFT JOIN base ON r.regime = base.regime AND r.lang_tgt = base.lang_tgt AND (s IS NULL OR s = lang_src)""")
 def baseline_delta(spark, d):
-    def delta(r, name):
-        return rs.delta_over_baseline(r, v.BASELINE, SEED_MEANS[name])
-
-    return rounded(each_regime(spark, d, delta), "value_baseline", "value_delta")
+    deltas = rs.delta_over_baseline(by_regime(spark, d), v.BASELINE, ["regime", "lang_src", "lang_tgt"])
+    return rounded(deltas, "value", "value_baseline", "value_delta")
 
 
 @query("q_family_delta", f"""WITH {v.RESULTS_SQL}, named AS (SELECT model || '_' || seed AS model, lang_src, lang_tgt, value FROM results WHERE lang_src = lang_tgt),
 base AS (SELECT lang_tgt, avg(value) AS b FROM named WHERE model = '{v.BASELINE}_2001' GROUP BY lang_tgt),
 deltas AS (SELECT n.*, value - b AS value_delta FROM named n LEFT JOIN base USING (lang_tgt))
-SELECT family, model, lang_src, lang_tgt, round(value, 6) AS value, round(value_delta, 9) AS value_delta
+SELECT family, model, lang_src, lang_tgt, round(value, 9) AS value, round(value_delta, 9) AS value_delta
 FROM deltas JOIN (VALUES ('1-'), ('2-'), ('HIGH'), ('LOW')) f(family) ON contains(model, family) OR contains(model, 'MEDIUM')
 WHERE (SELECT count(DISTINCT model) FROM named) > 6""")
 def family_delta(spark, d):
-    rows = regime(spark, d, "in").withColumn("model", F.concat_ws("_", "model", "seed")).drop("seed")
+    rows = by_regime(spark, d, "in").withColumn("model", F.concat_ws("_", "model", "seed")).drop("seed")
     deltas = rs.delta_over_baseline(rows, f"{v.BASELINE}_2001", ["lang_tgt"])
     views = rs.family_views(deltas, ["1-", "2-", "HIGH", "LOW"], "MEDIUM")
-    return rounded(views, "value_delta").select("family", "model", "lang_src", "lang_tgt", "value", "value_delta")
+    return rounded(views, "value", "value_delta").select("family", "model", "lang_src", "lang_tgt", "value", "value_delta")
 
 
-ADJUST_BY = {"in": ["lang_src"], "en_other": ["lang_tgt"], "cross": ["lang_src", "lang_tgt"]}
+ADJUSTED = ("in", "en_other", "cross")
 ADJUSTED_SQL = TOK_SQL + """,
 joined_stats AS (
   SELECT r.regime, r.model, r.seed, r.lang_src, r.lang_tgt, r.value AS y, t.value AS x,
@@ -110,22 +97,17 @@ joined_stats AS (
 adjusted AS (SELECT *, y - avg(y) OVER (PARTITION BY regime, g) AS yd, x - avg(x) OVER (PARTITION BY regime, g) AS xd FROM joined_stats)"""
 
 
-def adjusted(spark, d, name):
-    joined = rs.with_language_stats(regime(spark, d, name), v.tok_stats(spark, d))
+def adjusted(spark, d):
+    joined = rs.with_language_stats(by_regime(spark, d, *ADJUSTED), v.tok_stats(spark, d))
     rows = joined.withColumnsRenamed({"value_results": "y", "value_tok": "x"})
-    return rs.language_adjusted(rows, ["x", "y"], ADJUST_BY[name])
+    out = rs.language_adjusted(rows, ["x", "y"], ["regime", "lang_src", "lang_tgt"])
+    # Rounded, so that values which are equal but for the last bits share a rank.
+    return rounded(out, "x_delta", "y_delta")
 
 
 @query("q_lang_adjusted", f"WITH {ADJUSTED_SQL} SELECT regime, model, seed, lang_src, lang_tgt, round(xd, 9) AS x_delta, round(yd, 9) AS y_delta FROM adjusted")
 def lang_adjusted(spark, d):
-    parts = [adjusted(spark, d, n).withColumn("regime", F.lit(n)) for n in ADJUST_BY]
-    out = reduce(lambda a, b: a.unionByName(b), parts)
-    return rounded(out, "x_delta", "y_delta").select("regime", "model", "seed", "lang_src", "lang_tgt", "x_delta", "y_delta")
-
-
-def correlation_input(spark, d, name):
-    # Rounded, so that values which are equal but for the last bits share a rank.
-    return rounded(adjusted(spark, d, name), "x_delta", "y_delta")
+    return adjusted(spark, d).select("regime", "model", "seed", "lang_src", "lang_tgt", "x_delta", "y_delta")
 
 
 @query("q_corr", f"""WITH {ADJUSTED_SQL}, r AS (SELECT regime, round(xd, 9) AS xd, round(yd, 9) AS yd FROM adjusted WHERE xd IS NOT NULL AND yd IS NOT NULL),
@@ -133,19 +115,17 @@ ranks AS (SELECT regime, xd, yd, rank() OVER (PARTITION BY regime ORDER BY xd) +
   rank() OVER (PARTITION BY regime ORDER BY yd) + (count(*) OVER (PARTITION BY regime, yd) - 1) / 2 AS ry FROM r)
 SELECT regime, count(*) AS n, round(corr(xd, yd), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM ranks GROUP BY regime""")
 def corr(spark, d):
-    parts = [rs.correlations(correlation_input(spark, d, n), "x_delta", "y_delta").withColumn("regime", F.lit(n)) for n in ADJUST_BY]
-    return rounded(reduce(lambda a, b: a.unionByName(b), parts), "pearson", "spearman", digits=6)
+    return rounded(rs.correlations(adjusted(spark, d), "x_delta", "y_delta"), "pearson", "spearman", digits=6)
 
 
 @query("q_corr_p_values")
 def corr_p_values(spark, d):
-    rows = correlation_input(spark, d, "cross")
-    return rounded(rs.with_p_values(rs.correlations(rows, "x_delta", "y_delta")), "pearson", "spearman", "pearson_p", "spearman_p", digits=6)
+    return rounded(rs.with_p_values(rs.correlations(adjusted(spark, d), "x_delta", "y_delta")), "pearson", "spearman", "pearson_p", "spearman_p", digits=6)
 
 
 @query("q_series", f"WITH {REGIME_SQL} SELECT regime, lang_tgt, model, round(avg(value), 9) AS mean_value, count(*) AS n FROM regimes GROUP BY ALL")
 def series(spark, d):
-    return rounded(each_regime(spark, d, lambda r, _: rs.series(r)), "mean_value")
+    return rounded(rs.series(by_regime(spark, d)), "mean_value")
 
 
 def _weight_sql() -> str:
@@ -159,7 +139,7 @@ drawn AS (SELECT *, md5(concat_ws(':', model, lang_src, lang_tgt, seed, replicat
 means AS (SELECT lang_tgt, model, replicate, sum(value * w) / nullif(sum(w), 0) AS m FROM (SELECT *, {_weight_sql()} AS w FROM drawn) GROUP BY ALL)
 SELECT lang_tgt, model, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM means GROUP BY ALL""")
 def series_band(spark, d):
-    return rounded(rs.series_band(regime(spark, d, "in"), 100), "low", "high")
+    return rounded(rs.series_band(by_regime(spark, d, "in"), 100), "low", "high")
 
 
 GRID_SQL = v.RESULTS_SQL + """,

@@ -171,7 +171,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Nations are named only after the aggregation: the keys are as good as the names until then.
     seed = (F.col("l_linenumber") % 3 + 2001).cast("int")
     cells = joined.groupBy(F.col("o_orderpriority").alias("model"), seed.alias("seed"), "c_nationkey", "s_nationkey").agg(
-        F.round(F.avg("l_discount"), 6).alias("value")
+        F.avg("l_discount").alias("value")
     )
     return cells.join(src, "c_nationkey").join(tgt, "s_nationkey").select("model", "seed", "lang_src", "lang_tgt", "value")
 
@@ -179,7 +179,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 BASELINE = "1-URGENT"
 RESULTS_SQL = """results AS (
   SELECT o_orderpriority AS model, CAST(l_linenumber % 3 + 2001 AS INTEGER) AS seed,
-         cn.n_name AS lang_src, sn.n_name AS lang_tgt, round(avg(l_discount), 6) AS value
+         cn.n_name AS lang_src, sn.n_name AS lang_tgt, avg(l_discount) AS value
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
        JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey
        JOIN nation sn ON s_nationkey = sn.n_nationkey
@@ -201,7 +201,7 @@ def tok_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy(F.col("o_orderpriority").alias("model"), "s_nationkey")
-        .agg(F.round(F.avg("l_tax"), 6).alias("value"), F.count("*").alias("n_rows"))
+        .agg(F.avg("l_tax").alias("value"), F.count("*").alias("n_rows"))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .select("model", F.col("n_name").alias("lang"), "value", "n_rows")
     )
@@ -211,7 +211,7 @@ def tok_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOK_STATS_SQL = """tok_stats AS (
   SELECT *, CAST(rank() OVER (PARTITION BY model ORDER BY n_rows DESC) AS BIGINT) AS data_amount_rank FROM (
-    SELECT o_orderpriority AS model, n_name AS lang, round(avg(l_tax), 6) AS value, count(*) AS n_rows
+    SELECT o_orderpriority AS model, n_name AS lang, avg(l_tax) AS value, count(*) AS n_rows
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
          JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL))"""
 
@@ -230,14 +230,14 @@ def cross_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy(F.col("o_orderpriority").alias("model"), "c_nationkey", "s_nationkey")
-        .agg(F.round(F.avg("l_quantity"), 6).alias("overlap"))
+        .agg(F.avg("l_quantity").alias("overlap"))
         .join(src, "c_nationkey").join(tgt, "s_nationkey")
         .select("model", "lang_src", "lang_tgt", "overlap")
     )
 
 
 CROSS_STATS_SQL = """cross_stats AS (
-  SELECT o_orderpriority AS model, cn.n_name AS lang_src, sn.n_name AS lang_tgt, round(avg(l_quantity), 6) AS overlap
+  SELECT o_orderpriority AS model, cn.n_name AS lang_src, sn.n_name AS lang_tgt, avg(l_quantity) AS overlap
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
        JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey
        JOIN nation sn ON s_nationkey = sn.n_nationkey
