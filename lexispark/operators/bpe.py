@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import characters
-from ..session import checkpointed
+from ..session import checkpointed, fan_out
 from .unigram import SPECIALS, character_counts, covered_characters, vocab_frame
 
 # Pairs looked at per round; a bound on what reaches the driver, not on what is counted.
@@ -89,11 +89,12 @@ def train_bpe(
     chars = covered_characters(character_counts(words), coverage).orderBy(F.col("cnt").desc(), "char").toPandas()
     alphabet = list(chars["char"])
     known = set(alphabet)
-    state = checkpointed(as_symbols(words))
+    state = checkpointed(fan_out(as_symbols(words)))
     merges: list[tuple[str, str]] = []
     joined: list[str] = []
     room = vocab_size - len(specials) - len(alphabet)
     rounds = 0
+    held: list[DataFrame] = []
     while len(joined) < room:
         counts = pair_counts(state)
         inside = counts
@@ -111,9 +112,19 @@ def train_bpe(
             if left + right not in known:
                 joined.append(left + right)
                 known.add(left + right)
-        state = state.withColumn("symbols", join_pairs(F.col("symbols"), [(a, b) for a, b, _ in batch]))
+        # Kept in memory for the next count; lineage back to the last checkpoint survives a lost executor.
+        before = state
+        state = state.withColumn("symbols", join_pairs(F.col("symbols"), [(a, b) for a, b, _ in batch])).persist()
         rounds += 1
         if rounds % CHECKPOINT_EVERY == 0:
-            state = checkpointed(state)
+            kept, state = state, checkpointed(state)
+            held.append(kept)
+            for old in held:
+                old.unpersist()
+            held = []
+        elif before is not state:
+            held.append(state)
+    for old in held:
+        old.unpersist()
     pieces = [(p, -float(i)) for i, p in enumerate(joined + alphabet)]
     return vocab_frame(spark, pieces, specials), merges

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text, space_words
-from ..session import checkpointed
+from ..session import checkpointed, fan_out
 from .ordering import dense_index, exact_sample
 from .segment import UNKNOWN_PENALTY, distinct_words
 
@@ -68,10 +68,10 @@ def merge(vocabs: DataFrame, log_scores: bool = True) -> DataFrame:
 
 def trim(vocab: DataFrame, size: int) -> DataFrame:
     """The first `size` pieces, special ones included; an error if there are fewer."""
-    total = vocab.agg(F.count("*")).scalar()
-    short = F.raise_error(F.concat(F.lit(f"fewer than {size} pieces: "), total.cast("string"))).cast("int")
-    checked = F.when(total < size, short).otherwise(F.lit(size))
-    return vocab.where(F.col("piece_id") < checked)
+    kept = checkpointed(vocab.where(F.col("piece_id") < size))
+    if kept.count() < size:
+        raise ValueError(f"the vocabulary has fewer than {size} pieces")
+    return kept
 
 
 def ranked_groups(vocabs: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def greedy_merge(
         if sample_lines:
             drawn = exact_sample(lines, sample_lines, F.concat_ws(":", *key), seed + round_no, [source])
         words, counts = corpus_words(drawn, source, text)
-        return checkpointed(words), checkpointed(counts)
+        return checkpointed(fan_out(words)), checkpointed(counts)
 
     words, line_counts = data(0)
     size = current().count()

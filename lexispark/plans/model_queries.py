@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD_START, space_words, substrings
+from ..functions.text import WORD_START
 from ..operators import bpe, clustering, decompose, segment, unigram
 from ..operators import vectorize as vz
 from ..operators import vocab_merge as vm
 from ..operators.counting import token_counts
 from ..operators.vocab_stats import fertility
-from ..session import checkpointed
+from ..session import checkpointed, fan_out
 from ..sources.vocab import vocab_from_pairs, with_specials
 from . import views as v
 from .registry import query
@@ -105,7 +105,7 @@ def train_unigram(spark, d):
 
 @query("q_train_bpe")
 def train_bpe(spark, d):
-    return bpe.train_bpe(marked_words(spark, d), 400)[0]
+    return bpe.train_bpe(marked_words(spark, d), 150)[0]
 
 
 # --- vocabularies of languages -------------------------------------------------------------------
@@ -174,10 +174,8 @@ UNION ALL SELECT lang, i, p, 0.0, CASE p WHEN '<unk>' THEN 'UNKNOWN' ELSE 'CONTR
   (VALUES (0, '<s>'), (1, '<pad>'), (2, '</s>'), (3, '<unk>'), (4, '<mask>')) t(i, p)""")
 def vocab_types(spark, d):
     pairs = v.lang_vocab(spark, d, 1000).where(F.col("type") == "NORMAL")
-    typed = vocab_from_pairs(pairs.withColumn("place", F.col("piece_id") - 3).drop("type"), "place")
-    langs = pairs.select("lang", "piece_id", "piece")
-    named = typed.withColumn("piece_id", F.col("piece_id") + 3).join(langs, ["piece_id", "piece"]).withColumn("piece_id", F.col("piece_id") - 3)
-    return with_specials(named.withColumnRenamed("lang", "tokenizer"), ["<s>", "<pad>", "</s>", "<unk>", "<mask>"]).withColumn("score", F.round("score", 6))
+    named = pairs.withColumn("place", F.col("piece_id") - 3).withColumnRenamed("lang", "tokenizer")
+    return with_specials(vocab_from_pairs(named, "place", ["tokenizer"]), ["<s>", "<pad>", "</s>", "<unk>", "<mask>"]).withColumn("score", F.round("score", 6))
 
 
 @query("q_merge_candidates")
@@ -186,6 +184,7 @@ def merge_candidates(spark, d):
     ranks = vm.ranked_groups(vocabs)
     groups = [(r["grp"], r["n"]) for r in ranks.groupBy("grp").agg(F.count("*").alias("n")).orderBy("grp").collect()]
     words, lines = vm.corpus_words(lower_lines(spark, d), "src", "line")
+    words = fan_out(words)
     with_rank = vocabs.join(ranks.select("tokenizer", "size_rank"), "tokenizer")
     return vm.evaluate_candidates(marked_vocabs(with_rank), groups, {g: 0 for g, _ in groups}, words, lines)
 
@@ -216,7 +215,7 @@ def lsa_input(spark, d):
 
     weights, frequency = word_tfidf(spark, d)
     terms = checkpointed(vz.term_table(frequency))
-    rows = checkpointed(vz.sparse_rows(weights, terms, "doc_id"))
+    rows = checkpointed(fan_out(vz.sparse_rows(weights, terms, "doc_id")))
     return rows, terms, weights
 
 

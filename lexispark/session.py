@@ -60,6 +60,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fan_out(df: DataFrame) -> DataFrame:
+    """Spread a table that is small in bytes but costly to process.
+
+    Adaptive execution sizes partitions by bytes and would leave such a table to one or two tasks.
+    """
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, shuffle))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when a scan yields fewer partitions than there are cores.
 

@@ -65,10 +65,10 @@ def listing(vocab: DataFrame) -> DataFrame:
     return vocab.orderBy("tokenizer", "piece_id")
 
 
-def vocab_from_pairs(pairs: DataFrame, order: str) -> DataFrame:
+def vocab_from_pairs(pairs: DataFrame, order: str, keys: Sequence[str] = ()) -> DataFrame:
     """A vocabulary from (piece, score) pairs whose place is given by an integer column."""
     return pairs.select(
-        F.col(order).cast("int").alias("piece_id"), "piece", F.col("score").cast("double").alias("score"),
+        *keys, F.col(order).cast("int").alias("piece_id"), "piece", F.col("score").cast("double").alias("score"),
         piece_type(F.col("piece")).alias("type"),
     )
 
