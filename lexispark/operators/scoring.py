@@ -90,21 +90,21 @@ def _mark(column: str, name: str) -> Column:
     return F.transform(column, lambda e: F.struct(e["type"].alias("type"), F.lit(name).alias("kind")))
 
 
-def class_scores(df: DataFrame, label: str, pred: str) -> DataFrame:
+def class_scores(df: DataFrame, label: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support per class, over classes seen as label or prediction."""
-    confusion = df.groupBy(F.col(label).alias("y"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
+    confusion = df.groupBy(*keys, F.col(label).alias("y"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
     same = F.col("y") == F.col("p")
-    gold = confusion.groupBy(F.col("y").alias("class")).agg(F.sum("n").alias("support"), F.sum(F.when(same, F.col("n")).otherwise(0)).alias("tp"))
-    guess = confusion.groupBy(F.col("p").alias("class")).agg(F.sum("n").alias("n_pred"))
-    both = gold.join(guess, "class", "full").na.fill(0, ["support", "tp", "n_pred"])
+    gold = confusion.groupBy(*keys, F.col("y").alias("class")).agg(F.sum("n").alias("support"), F.sum(F.when(same, F.col("n")).otherwise(0)).alias("tp"))
+    guess = confusion.groupBy(*keys, F.col("p").alias("class")).agg(F.sum("n").alias("n_pred"))
+    both = gold.join(guess, [*keys, "class"], "full").na.fill(0, ["support", "tp", "n_pred"])
     return _ratios(both)
 
 
-def macro_scores(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """Plain means over classes and the accuracy, as one row."""
-    per_class = class_scores(df, label, pred)
+def macro_scores(df: DataFrame, label: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Plain means over classes and the accuracy, one row per `keys`."""
+    per_class = class_scores(df, label, pred, keys)
     means = [F.avg(c).alias(c) for c in ("precision", "recall", "f1")]
-    return per_class.agg(*means, (F.sum("tp") / F.sum("support")).alias("accuracy"))
+    return per_class.groupBy(*keys).agg(*means, (F.sum("tp") / F.sum("support")).alias("accuracy"))
 
 
 def flatten_class_scores(scores: DataFrame, name: str = "class") -> DataFrame:

@@ -68,7 +68,8 @@ def merge(vocabs: DataFrame, log_scores: bool = True) -> DataFrame:
 
 def trim(vocab: DataFrame, size: int) -> DataFrame:
     """The first `size` pieces, special ones included; an error if there are fewer."""
-    kept = checkpointed(vocab.where(F.col("piece_id") < size))
+    # Written first: the ids are computed with scalar subqueries that a filter should not be pushed into.
+    kept = checkpointed(vocab).where(F.col("piece_id") < size)
     if kept.count() < size:
         raise ValueError(f"the vocabulary has fewer than {size} pieces")
     return kept

@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from . import label_queries, model_queries, result_queries, stats_queries, text_queries, vector_queries  # noqa: F401
+from . import io_queries, label_queries, model_queries, result_queries, stats_queries, text_queries, vector_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "ship_package"]

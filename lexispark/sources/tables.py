@@ -33,7 +33,8 @@ def labelled_corpus(spark: SparkSession, root: str, task: str, lang: str, split:
     return rows.where((F.col("task") == task) & (F.col("lang") == lang) & (F.col("split") == split))
 
 
-RESULT_PATH = r"/([^/]+)_seed([0-9]+)/([^/]+)/([^/]+)/[^/]+$"
+# A directory may be plain or of the form name=value.
+RESULT_PATH = r"/(?:[^/=]+=)?([^/]+)_seed([0-9]+)/(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?([^/]+)/[^/]+$"
 
 
 def read_results(spark: SparkSession, root: str, metric: str) -> DataFrame:
