@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import explode_rows
 from ..functions.text import characters
 from ..session import checkpointed, fan_out
 from .unigram import SPECIALS, character_counts, covered_characters, vocab_frame
@@ -32,7 +33,7 @@ def pair_counts(words: DataFrame) -> DataFrame:
     rows = words.select(parts.alias("p"), "cnt")
     after = F.slice("p", F.lit(2), F.size("p"))
     pairs = F.filter(F.zip_with("p", after, lambda a, b: F.struct(a.alias("left"), b.alias("right"))), lambda s: s["right"].isNotNull())
-    exploded = rows.select(F.explode(pairs).alias("s"), "cnt")
+    exploded = explode_rows(rows, ["cnt"], pairs, "s")
     return exploded.groupBy("s.left", "s.right").agg(F.sum("cnt").alias("n"))
 
 

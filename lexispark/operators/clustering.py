@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import squared_distance
+from ..functions.rows import explode_rows
 from .ordering import exact_sample
 
 
@@ -33,7 +34,7 @@ def kmeans(df: DataFrame, vector: str, k: int, starts: int = 20, seed: int = 0,
 
 def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     """label, centroid: the mean vector of each label."""
-    rows = df.select(label, F.posexplode(vector).alias("_i", "_x"))
+    rows = explode_rows(df, [label], vector, "_x", "_i")
     means = rows.groupBy(label, "_i").agg(F.avg("_x").alias("_m"))
     packed = means.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_v"))
     return packed.select(label, F.col("_v._m").alias("centroid"))

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import explode_rows
+
 
 def token_counts(df: DataFrame, keys: Sequence[str], tokens: Column | str) -> DataFrame:
     """One row per (keys, token) with its number of occurrences in an array column."""
-    exploded = df.select(*keys, F.explode(tokens).alias("token"))
+    exploded = explode_rows(df, keys, tokens, "token")
     return exploded.groupBy(*keys, "token").agg(F.count("*").alias("cnt"))
 
 

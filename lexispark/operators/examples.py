@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import pad_right, round_up
 from ..functions.hashing import draw_below, draw_int, draw_key
+from ..functions.rows import explode_rows
 from .scoring import IGNORED
 
 # Ids of the special tokens.
@@ -55,7 +56,7 @@ def blocks(df: DataFrame, row_no: str, ids: str, length: int, batch: int = 1000)
     count = F.when(total >= length, F.floor(total / length)).when(total > 0, 1).otherwise(0).cast("int")
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     cut = F.transform(starts, lambda b: F.slice(F.col("_all"), b * length + 1, F.lit(length)))
-    return flat.select("batch", F.posexplode(cut).alias("block", "ids"))
+    return explode_rows(flat, ["batch"], cut, "ids", "block")
 
 
 def mask_tokens(df: DataFrame, ids: str, key: Column, seed: int, vocab_size: int, share: float = 0.15) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import explode_rows
 from .scoring import IGNORED
 
 
 def label_array(df: DataFrame, tags: str) -> DataFrame:
     """One row holding the sorted distinct labels; a label's id is its place."""
-    distinct = df.select(F.explode(tags).alias("label")).distinct()
+    distinct = explode_rows(df, [], tags, "label").distinct()
     return distinct.agg(F.sort_array(F.collect_list("label")).alias("labels"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import draw_key
+from ..functions.rows import explode_rows
 from ..session import checkpointed
 from .ordering import running_total
 
@@ -33,7 +34,8 @@ def with_regimes(results: DataFrame, pivot: Column, regimes: Sequence[str] = tup
         "cross": src != tgt,
     }
     tags = F.array_compact(F.array(*[F.when(tests[r], F.lit(r)) for r in regimes]))
-    return results.withColumn("_start", pivot).withColumn("regime", F.explode(tags)).drop("_start")
+    rows = explode_rows(results.withColumn("_start", pivot), ["*"], tags, "regime")
+    return rows.drop("_start")
 
 
 def model_means(results: DataFrame, keys: Sequence[str] = ("regime",)) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import explode_rows
+
 # Fixed value: the label id that is never scored.
 IGNORED = -100
 
@@ -76,10 +78,13 @@ def entity_scores(df: DataFrame, tags: str, preds: str) -> DataFrame:
     Chunks of a sequence are compared inside its row, so nothing but the type counts is shuffled.
     """
     found = df.select(chunks(F.col(tags)).alias("gold"), chunks(F.col(preds)).alias("guess"))
-    found = found.withColumn("hit", F.array_intersect("gold", "guess"))
+    # As strings, chunks are intersected by hash and not pair by pair.
+    named = [F.transform(c, lambda e: F.concat_ws(":", e["first"], e["last"], e["type"])) for c in ("gold", "guess")]
+    same = F.transform(F.array_intersect(*named), lambda s: F.struct(F.get(F.split(s, ":", 3), F.lit(2)).alias("type")))
+    found = found.withColumn("hit", same)
     kinds = [("gold", "support"), ("guess", "n_pred"), ("hit", "tp")]
     tagged = F.flatten(F.array(*[_mark(column, name) for column, name in kinds]))
-    per_row = found.select(F.explode(tagged).alias("e")).select("e.type", "e.kind")
+    per_row = explode_rows(found, [], tagged, "e").select("e.type", "e.kind")
     count = [F.sum((F.col("kind") == name).cast("long")).alias(name) for _, name in kinds]
     by_type = per_row.groupBy("type").agg(*count)
     overall = by_type.agg(*[F.sum(name).alias(name) for _, name in kinds]).withColumn("type", F.lit("overall"))

@@ -9,6 +9,7 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
 from ..functions.arrays import argmax
+from ..functions.rows import explode_rows
 from ..operators import clustering, scoring
 from ..operators import vectorize as vz
 from ..operators.ordering import percent_split, start_lines
@@ -158,7 +159,7 @@ METRICS = ("accuracy", "f1", "recall", "precision")
 @query("q_metrics_sink", f"WITH {LANG_CLASS_SQL} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, src AS lang, round({m}, 6) AS value FROM by_lang" for m in METRICS))
 def metrics_sink(spark, d):
     path = scratch_path(spark, "metrics")
-    seqs = v.sequences(spark, d).select("src", F.explode(F.arrays_zip("tags", "preds")).alias("z"))
+    seqs = explode_rows(v.sequences(spark, d), ["src"], F.arrays_zip("tags", "preds"), "z")
     pairs = seqs.select("src", F.col("z.tags").alias("tag"), F.col("z.preds").alias("pred"))
     scores = scoring.macro_scores(pairs, "tag", "pred", ["src"])
     wr.write_metric_records(scores, path, "src", METRICS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import argmax
+from ..functions.rows import explode_rows
 from ..operators import examples as ex
 from ..operators import labels as lb
 from ..operators import scoring as sc
@@ -118,7 +119,7 @@ UNION ALL SELECT 'fewer', label, label_id, false FROM label_table""")
 def label_reorder(spark, d):
     seqs = v.sequences(spark, d)
     dataset = lb.label_table(seqs, "tags").select("label", "label_id")
-    counts = seqs.select(F.explode("tags").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    counts = explode_rows(seqs, [], "tags", "label").groupBy("label").agg(F.count("*").alias("n"))
     ordered = counts.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "label"))).alias("o"))
     model = ordered.select(F.posexplode("o.label").alias("label_id", "label"))
     fewer = model.where(F.col("label_id") > 0)
@@ -170,7 +171,7 @@ def accuracy(spark, d):
     # Positions to ignore carry the ignored label, as in padded sequences.
     hidden = F.when(F.col("vec_id") % 5 == 0, F.lit(sc.IGNORED)).otherwise(F.col("label"))
     seqs = rows.select(F.array(hidden).alias("y"), F.array("pred").alias("p"))
-    kept = seqs.select(F.explode(sc.scored_positions(F.col("y"), F.col("p"))).alias("s")).select("s.label", "s.pred")
+    kept = explode_rows(seqs, [], sc.scored_positions(F.col("y"), F.col("p")), "s").select("s.label", "s.pred")
     return sc.accuracy(kept, "label", "pred").select(F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -205,7 +206,7 @@ per_class AS (
 
 def tag_pairs(spark, d):
     seqs = v.sequences(spark, d)
-    return seqs.select(F.explode(F.arrays_zip("tags", "preds")).alias("z")).select(F.col("z.tags").alias("tag"), F.col("z.preds").alias("pred"))
+    return explode_rows(seqs, [], F.arrays_zip("tags", "preds"), "z").select(F.col("z.tags").alias("tag"), F.col("z.preds").alias("pred"))
 
 
 @query("q_macro_f1", f"""WITH {CLASS_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import explode_rows
 from ..functions.text import WORD_START
 from ..operators import bpe, clustering, decompose, segment, unigram
 from ..operators import vectorize as vz
@@ -22,7 +23,7 @@ LONGEST = 8
 
 def marked_words(spark, d):
     """word, cnt over the corpus: lowercased words with the word start mark."""
-    words = v.words(spark, d).select(F.explode("words").alias("w"))
+    words = explode_rows(v.words(spark, d), [], "words", "w")
     return words.groupBy(F.concat(F.lit(WORD_START), "w").alias("word")).agg(F.count("*").alias("cnt"))
 
 
@@ -43,7 +44,7 @@ def unigram_seeds(spark, d):
 
 
 def subword_vocab(spark, d):
-    seeds = unigram.seed_pieces(marked_words(spark, d), PIECES, LONGEST)
+    seeds = checkpointed(unigram.seed_pieces(marked_words(spark, d), PIECES, LONGEST))
     total = seeds.agg(F.sum("cnt")).scalar()
     # A vocabulary of a given small size, so one sorted window numbers it.
     place = F.row_number().over(Window.orderBy(F.col("cnt").desc(), "piece"))
@@ -115,7 +116,7 @@ SIZES = (500, 1000, 2000)
 
 def vocab_set(spark, d, size=2000):
     """One vocabulary per language, in name order."""
-    vocab = v.lang_vocab(spark, d, size)
+    vocab = checkpointed(v.lang_vocab(spark, d, size))
     order = vocab.agg(F.sort_array(F.collect_set("lang"))).scalar()
     rows = vocab.withColumn("_langs", order)
     return rows.select(

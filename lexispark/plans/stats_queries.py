@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import counting as ct
 from ..operators import vocab_stats as vs
+from ..session import checkpointed
 from . import views as v
 from .registry import query
 
@@ -30,9 +31,9 @@ dense AS (
 
 def dense_counts(spark, d):
     """Counts of each language over the vocabulary of the whole corpus: most pieces are unseen."""
-    counts = v.lang_counts(spark, d)
+    counts = checkpointed(v.lang_counts(spark, d))
     langs = counts.agg(F.collect_set("lang")).scalar()
-    vocab = v.corpus_vocab(spark, d, 5000).withColumn("lang", F.explode(langs))
+    vocab = v.corpus_vocab(counts, 5000).withColumn("lang", F.explode(langs))
     return ct.over_vocabulary(vocab, counts, ["lang"]).select("lang", "piece_id", "piece", "cnt")
 
 
@@ -127,7 +128,8 @@ SELECT cum.lang, round(-sum(cnt / total * ln(cnt / total)), 6) AS entropy,
   round(sum(cnt * length(token)) / max(total), 6) AS chars_per_token
 FROM cum JOIN crossing ON cum.lang = crossing.lang GROUP BY cum.lang""")
 def vocab_stats_by_lang(spark, d):
-    counts = v.lang_counts(spark, d)
+    # The corpus is read once; every statistic comes from the table of counts.
+    counts = checkpointed(v.lang_counts(spark, d))
     sizes = counts.groupBy("lang").agg((F.count("*") + 3).alias("vocab_size"))
     stats = vs.entropy(counts, ["lang"])
     for part in (
@@ -154,6 +156,7 @@ FROM both_sides GROUP BY ALL"""
 
 
 def _jsd(counts, group):
+    counts = checkpointed(counts)
     out = vs.js_distances(counts, group, vs.group_pairs(counts, group))
     return out.withColumn("js_distance", F.round("js_distance", 6))
 

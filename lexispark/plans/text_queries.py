@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.hashing import draw_key
+from ..functions.rows import explode_rows
 from ..operators import ordering as od
 from ..operators.counting import token_counts
 from ..sources import text as st
@@ -188,10 +189,7 @@ blocks AS (
 @query("q_doc_blocks", f"WITH {BLOCKS_SQL} SELECT src, doc_ord, start_line, text FROM blocks")
 def doc_blocks(spark, d):
     placed = od.start_lines(source_documents(spark, d))
-    lines = placed.select(
-        "src",
-        F.posexplode(F.concat("lines", F.array(F.lit("")))).alias("pos", "line"),
-        (F.col("start_line") - 1).alias("first"),
-    ).select("src", (F.col("first") + F.col("pos")).alias("line_no"), "line")
+    first = (F.col("start_line") - 1).alias("first")
+    lines = explode_rows(placed, ["src", first], F.concat("lines", F.array(F.lit(""))), "line", "pos").select("src", (F.col("first") + F.col("pos")).alias("line_no"), "line")
     blocks = st.documents_from_lines(lines, "line_no")
     return blocks.select("src", "doc_ord", "start_line", F.array_join("lines", " ").alias("text"))

@@ -10,6 +10,7 @@ from ..operators import clustering as cl
 from ..operators import neighbors as nb
 from ..operators import vectorize as vz
 from ..operators.counting import token_counts
+from ..session import checkpointed
 from . import views as v
 from .registry import query
 from .text_queries import CHAR_WB_SQL
@@ -30,7 +31,7 @@ def n_docs(spark, d):
 def word_tfidf(spark, d):
     words = v.words(spark, d, "doc_id").select("doc_id", tx.mark_numbers(F.col("words")).alias("words"))
     counts = token_counts(words, ["doc_id"], "words")
-    frequency = vz.document_frequency(counts, n_docs(spark, d), 2, 0.5)
+    frequency = checkpointed(vz.document_frequency(counts, n_docs(spark, d), 2, 0.5))
     return vz.tfidf(counts, frequency, "doc_id"), frequency
 
 
@@ -55,7 +56,8 @@ def tfidf_char(spark, d):
     docs = v.documents(spark, d, "doc_id", "text")
     counts = token_counts(docs, ["doc_id"], tx.char_ngrams(F.col("text"), 2, 4))
     counts = counts.where(F.length("token") <= 3)
-    return vz.tfidf(counts, vz.document_frequency(counts, n_docs(spark, d), 5, 0.9), "doc_id").withColumn("weight", F.round("weight", 9))
+    frequency = checkpointed(vz.document_frequency(counts, n_docs(spark, d), 5, 0.9))
+    return vz.tfidf(counts, frequency, "doc_id").withColumn("weight", F.round("weight", 9))
 
 
 @query("q_term_table", f"""WITH {WORD_TFIDF_SQL}

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import explode_rows
 from ..functions.text import WORD_RUN, analyzed_words, has_text, space_words, strip_right
 from ..operators.counting import token_counts
-from ..session import spread
+from ..session import checkpointed, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,8 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src (language), source, doc_id, pos, line: right-stripped lines that are not blank."""
     docs = documents(spark, sf_dir, "doc_id", "lang", "source", "text")
-    rows = docs.select(F.col("lang").alias("src"), "source", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return rows.withColumn("line", strip_right(F.col("raw"))).drop("raw").where(F.col("line") != "")
+    rows = explode_rows(docs, [F.col("lang").alias("src"), "source", "doc_id"], F.split("text", "\n"), "raw", "pos")
+    return rows.where(has_text(F.col("raw"))).withColumn("line", strip_right(F.col("raw"))).drop("raw")
 
 
 STRIP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -57,7 +58,7 @@ freq AS (SELECT lang, token, count(*) AS cnt FROM words GROUP BY lang, token)"""
 
 def lang_vocab(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     """Per language the `size` most frequent words with ln(p), after three special pieces."""
-    counts = lang_counts(spark, sf_dir)
+    counts = checkpointed(lang_counts(spark, sf_dir))
     totals = counts.groupBy("lang").agg(F.sum("cnt").alias("total"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("cnt").desc(), "token"))
     ranked = counts.withColumn("rank", rank).where(F.col("rank") <= size).join(totals, "lang")
@@ -86,9 +87,9 @@ vocab AS (
     (VALUES (0, '<unk>', 'UNKNOWN'), (1, '<s>', 'CONTROL'), (2, '</s>', 'CONTROL')) s(id, piece, type))"""
 
 
-def corpus_vocab(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    """piece_id, piece: the unknown piece and the `size` most frequent words of the corpus."""
-    counts = lang_counts(spark, sf_dir).groupBy("token").agg(F.sum("cnt").alias("cnt"))
+def corpus_vocab(counts: DataFrame, size: int) -> DataFrame:
+    """piece_id, piece: the unknown piece and the `size` most frequent words of (lang, token, cnt)."""
+    counts = counts.groupBy("token").agg(F.sum("cnt").alias("cnt"))
     top = counts.orderBy(F.col("cnt").desc(), "token").limit(size)
     packed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("n"), "token"))).alias("t"))
     return packed.select(F.posexplode(F.concat(F.array(F.lit("<unk>")), F.col("t.token"))).alias("piece_id", "piece"))
@@ -108,7 +109,7 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     The id is a hash of the word into 30,000 slots after five special ids, so that inputs for the
     example operators need no vocabulary.
     """
-    lines = document_lines(spark, sf_dir).where(has_text(F.col("line")))
+    lines = document_lines(spark, sf_dir)
     slot = lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 6), 16, 10).cast("int") % 30000 + 5)
     return lines.select("src", "doc_id", "pos", F.transform(space_words(F.col("line")), slot).alias("ids"))
 

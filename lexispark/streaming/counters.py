@@ -7,19 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.rows import explode_rows
 from ..functions.text import analyzed_words
 from ..operators.counting import add_counts
 
 
 def tokens_of(stream: DataFrame, text: str, *keys: str) -> DataFrame:
     """keys, token: one row per word."""
-    return stream.select(*keys, F.explode(analyzed_words(F.col(text))).alias("token"))
+    return explode_rows(stream, keys, analyzed_words(F.col(text)), "token")
 
 
 def append_document_counts(stream: DataFrame, text: str, key: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Write (key, token, cnt) of every new document once; stops when all present input is done."""
-    words = stream.select(key, F.explode(analyzed_words(F.col(text))).alias("token"))
-    rows = words.withColumn("cnt", F.lit(1).cast("long"))
+    """Write one (key, token, 1) row per word of every new document; stops when all present input is done.
+
+    A stateless query with a file sink: each word is written exactly once, and the table can be summed
+    at any time.
+    """
+    rows = tokens_of(stream, text, key).withColumn("cnt", F.lit(1).cast("long"))
     writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start(path)
 
