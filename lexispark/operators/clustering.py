@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import squared_distance
 from ..functions.rows import explode_rows
+from ..session import checkpointed
 from .ordering import exact_sample
 
 
@@ -143,7 +144,7 @@ def silhouette(df: DataFrame, key: str, cluster: str, sample_size: int, seed: in
     """
     columns = [vector] if vector else ["ids", "weights"]
     rows = df.select(F.col(key).alias("_key"), F.col(cluster).alias("_cluster"), *columns)
-    sample = exact_sample(rows, sample_size, F.col("_key"), seed).persist()
+    sample = checkpointed(exact_sample(rows, sample_size, F.col("_key"), seed))
     n_blocks = max(1, math.ceil(sample.count() / BLOCK_ROWS))
     block = F.pmod(F.xxhash64("_key"), F.lit(n_blocks))
     others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import explode_rows
@@ -73,26 +73,38 @@ def _ratios(df: DataFrame) -> DataFrame:
 
 
 def entity_scores(df: DataFrame, tags: str, preds: str) -> DataFrame:
-    """Chunk precision, recall and F1 per type and overall (`type` = 'overall').
+    """Chunk precision, recall and F1 per type and overall (`type` = 'overall'), and token accuracy.
 
-    Chunks of a sequence are compared inside its row, so nothing but the type counts is shuffled.
+    Chunks of a sequence are compared inside its row, so only counts per type are shuffled, and one
+    pass over the sequences gives everything.
     """
-    found = df.select(chunks(F.col(tags)).alias("gold"), chunks(F.col(preds)).alias("guess"))
+    found = df.select(tags, preds, chunks(F.col(tags)).alias("gold"), chunks(F.col(preds)).alias("guess"))
     # As strings, chunks are intersected by hash and not pair by pair.
     named = [F.transform(c, lambda e: F.concat_ws(":", e["first"], e["last"], e["type"])) for c in ("gold", "guess")]
     same = F.transform(F.array_intersect(*named), lambda s: F.struct(F.get(F.split(s, ":", 3), F.lit(2)).alias("type")))
+    right = F.size(F.filter(F.zip_with(tags, preds, lambda a, b: a == b), lambda x: x))
     found = found.withColumn("hit", same)
+    tokens = F.array(_entry(F.lit(""), "n_tokens", F.size(tags)), _entry(F.lit(""), "n_right", right))
     kinds = [("gold", "support"), ("guess", "n_pred"), ("hit", "tp")]
-    tagged = F.flatten(F.array(*[_mark(column, name) for column, name in kinds]))
-    per_row = explode_rows(found, [], tagged, "e").select("e.type", "e.kind")
-    count = [F.sum((F.col("kind") == name).cast("long")).alias(name) for _, name in kinds]
-    by_type = per_row.groupBy("type").agg(*count)
-    overall = by_type.agg(*[F.sum(name).alias(name) for _, name in kinds]).withColumn("type", F.lit("overall"))
-    return _ratios(by_type.unionByName(overall))
+    marked = [_mark(column, name) for column, name in kinds]
+    entries = explode_rows(found, [], F.flatten(F.array(*marked, tokens)), "e").select("e.*")
+    names = ["support", "n_pred", "tp", "n_tokens", "n_right"]
+    sums = [F.sum(F.when(F.col("kind") == name, F.col("n")).otherwise(0)).alias(name) for name in names]
+    totals = entries.rollup("type").agg(*sums, F.grouping("type").alias("_all")).where("_all = 1 or type <> ''")
+    # The table has one row per type by now.
+    whole = Window.partitionBy(F.lit(1))
+    accuracy = F.max(F.when(F.col("_all") == 1, F.col("n_right") / F.col("n_tokens"))).over(whole)
+    kind = F.when(F.col("_all") == 1, F.lit("overall")).otherwise(F.col("type"))
+    rows = totals.withColumn("accuracy", accuracy).withColumn("type", kind)
+    return _ratios(rows.drop("_all", "n_tokens", "n_right"))
+
+
+def _entry(kind_type: Column, name: str, n: Column) -> Column:
+    return F.struct(kind_type.alias("type"), F.lit(name).alias("kind"), n.cast("long").alias("n"))
 
 
 def _mark(column: str, name: str) -> Column:
-    return F.transform(column, lambda e: F.struct(e["type"].alias("type"), F.lit(name).alias("kind")))
+    return F.transform(column, lambda e: _entry(e["type"], name, F.lit(1)))
 
 
 def class_scores(df: DataFrame, label: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
