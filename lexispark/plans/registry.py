@@ -24,3 +24,9 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return add
+
+
+def plain_zero(sql: str, *columns: str) -> str:
+    """The same rows with negative zero written as zero, as rounding in Spark does."""
+    fixed = ", ".join(f"CASE WHEN {c} = 0 THEN 0.0::DOUBLE ELSE {c} END AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({fixed}) FROM ({sql})"

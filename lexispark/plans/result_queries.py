@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import results as rs
 from ..sources import tables as tb
 from . import views as v
-from .registry import query
+from .registry import plain_zero, query
 
 REGIME_SQL = v.RESULTS_SQL + """,
 start_lang AS (SELECT n_name AS en FROM nation WHERE n_nationkey = 0),
@@ -66,21 +66,21 @@ def tok_join(spark, d):
     return out.orderBy("data_amount_rank", "model")
 
 
-@query("q_baseline_delta", f"""WITH {REGIME_SQL},
+@query("q_baseline_delta", plain_zero(f"""WITH {REGIME_SQL},
 base AS (SELECT regime, CASE WHEN regime = 'cross' THEN lang_src END AS s, lang_tgt, avg(value) AS b FROM regimes WHERE model = '{v.BASELINE}' GROUP BY ALL)
 SELECT r.regime, model, seed, lang_src, r.lang_tgt, round(value, 9) AS value, round(b, 9) AS value_baseline, round(value - b, 9) AS value_delta
-FROM regimes r LEFT JOIN base ON r.regime = base.regime AND r.lang_tgt = base.lang_tgt AND (s IS NULL OR s = lang_src)""")
+FROM regimes r LEFT JOIN base ON r.regime = base.regime AND r.lang_tgt = base.lang_tgt AND (s IS NULL OR s = lang_src)""", "value_delta"))
 def baseline_delta(spark, d):
     deltas = rs.delta_over_baseline(by_regime(spark, d), v.BASELINE, ["regime", "lang_src", "lang_tgt"])
     return rounded(deltas, "value", "value_baseline", "value_delta")
 
 
-@query("q_family_delta", f"""WITH {v.RESULTS_SQL}, named AS (SELECT model || '_' || seed AS model, lang_src, lang_tgt, value FROM results WHERE lang_src = lang_tgt),
+@query("q_family_delta", plain_zero(f"""WITH {v.RESULTS_SQL}, named AS (SELECT model || '_' || seed AS model, lang_src, lang_tgt, value FROM results WHERE lang_src = lang_tgt),
 base AS (SELECT lang_tgt, avg(value) AS b FROM named WHERE model = '{v.BASELINE}_2001' GROUP BY lang_tgt),
 deltas AS (SELECT n.*, value - b AS value_delta FROM named n LEFT JOIN base USING (lang_tgt))
 SELECT family, model, lang_src, lang_tgt, round(value, 9) AS value, round(value_delta, 9) AS value_delta
 FROM deltas JOIN (VALUES ('1-'), ('2-'), ('HIGH'), ('LOW')) f(family) ON contains(model, family) OR contains(model, 'MEDIUM')
-WHERE (SELECT count(DISTINCT model) FROM named) > 6""")
+WHERE (SELECT count(DISTINCT model) FROM named) > 6""", "value_delta"))
 def family_delta(spark, d):
     rows = by_regime(spark, d, "in").withColumn("model", F.concat_ws("_", "model", "seed")).drop("seed")
     deltas = rs.delta_over_baseline(rows, f"{v.BASELINE}_2001", ["lang_tgt"])
@@ -105,7 +105,7 @@ def adjusted(spark, d):
     return rounded(out, "x_delta", "y_delta")
 
 
-@query("q_lang_adjusted", f"WITH {ADJUSTED_SQL} SELECT regime, model, seed, lang_src, lang_tgt, round(xd, 9) AS x_delta, round(yd, 9) AS y_delta FROM adjusted")
+@query("q_lang_adjusted", plain_zero(f"WITH {ADJUSTED_SQL} SELECT regime, model, seed, lang_src, lang_tgt, round(xd, 9) AS x_delta, round(yd, 9) AS y_delta FROM adjusted", "x_delta", "y_delta"))
 def lang_adjusted(spark, d):
     return adjusted(spark, d).select("regime", "model", "seed", "lang_src", "lang_tgt", "x_delta", "y_delta")
 

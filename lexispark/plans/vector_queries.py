@@ -12,7 +12,7 @@ from ..operators import vectorize as vz
 from ..operators.counting import token_counts
 from ..session import checkpointed
 from . import views as v
-from .registry import query
+from .registry import plain_zero, query
 from .text_queries import CHAR_WB_SQL
 
 
@@ -70,8 +70,8 @@ UNIT_SQL = """vecs AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embed
 elems AS (SELECT vec_id, label, generate_subscripts(e, 1) - 1 AS i, unnest(e) AS x FROM vecs)"""
 
 
-@query("q_l2_embeddings", f"""WITH {UNIT_SQL}
-SELECT vec_id, CAST(i AS INTEGER) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS x FROM elems""")
+@query("q_l2_embeddings", plain_zero(f"""WITH {UNIT_SQL}
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS x FROM elems""", "x"))
 def l2_embeddings(spark, d):
     unit = vz.l2_normalize(v.embeddings(spark, d), "embedding")
     return unit.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
@@ -129,11 +129,11 @@ def knn(spark, d):
     return nb.nearest_neighbors(v.embeddings(spark, d), "vec_id", "embedding", 15).withColumn("distance", F.round("distance", 6))
 
 
-@query("q_pair_features", f"""WITH {UNIT_SQL},
+@query("q_pair_features", plain_zero(f"""WITH {UNIT_SQL},
 pairs AS (SELECT a.vec_id, a.i, a.x AS xa, b.x AS xb FROM elems a JOIN elems b ON b.vec_id = a.vec_id + 1 AND a.i = b.i)
 SELECT vec_id, CAST(i AS INTEGER) AS i, round(xa, 6) AS x FROM pairs
 UNION ALL SELECT vec_id, CAST(i + 64 AS INTEGER), round(xb, 6) FROM pairs
-UNION ALL SELECT vec_id, CAST(i + 128 AS INTEGER), round(xa * xb, 6) FROM pairs""")
+UNION ALL SELECT vec_id, CAST(i + 128 AS INTEGER), round(xa * xb, 6) FROM pairs""", "x"))
 def pair_feature_vectors(spark, d):
     rows = v.embeddings(spark, d)
     nxt = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
@@ -156,15 +156,15 @@ TOKEN_VEC_SQL = UNIT_SQL + """,
 tok AS (SELECT vec_id // 8 AS sent, CAST(vec_id % 8 // 3 AS INTEGER) AS word_pos, CASE WHEN label < 7 THEN 1 ELSE 0 END AS mask, i, x FROM elems)"""
 
 
-@query("q_masked_mean", f"""WITH {TOKEN_VEC_SQL}
-SELECT sent, CAST(i AS INTEGER) AS i, round(sum(x * mask) / greatest(sum(mask), 1), 6) AS x FROM tok GROUP BY sent, i""")
+@query("q_masked_mean", plain_zero(f"""WITH {TOKEN_VEC_SQL}
+SELECT sent, CAST(i AS INTEGER) AS i, round(sum(x * mask) / greatest(sum(mask), 1), 6) AS x FROM tok GROUP BY sent, i""", "x"))
 def masked_mean(spark, d):
     out = vz.masked_mean(token_vectors(spark, d), "sent", "embedding", "mask")
     return out.select("sent", F.posexplode("mean_vector").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("q_word_pool", f"""WITH {TOKEN_VEC_SQL}
-SELECT sent, word_pos, CAST(i AS INTEGER) AS i, round(sum(x), 6) AS total, round(avg(x), 6) AS mean FROM tok GROUP BY ALL""")
+@query("q_word_pool", plain_zero(f"""WITH {TOKEN_VEC_SQL}
+SELECT sent, word_pos, CAST(i AS INTEGER) AS i, round(sum(x), 6) AS total, round(avg(x), 6) AS mean FROM tok GROUP BY ALL""", "total", "mean"))
 def word_pool(spark, d):
     tokens = token_vectors(spark, d)
     both = vz.pool_words(tokens, "sent", "word_pos", "embedding").join(
