@@ -82,7 +82,7 @@ def test_join_path_equals_broadcast_path(spark, model, out):
     assert a == sorted(map(str, segment.encode_words(words, pieces, model, max_broadcast=2).collect()))
 
 
-def test_encoding_against_sentencepiece_rules(spark):
+def test_encoding_marks_word_starts(spark):
     texts = spark.createDataFrame([(0, "ab ba")], "k long, t string")
     pieces = vocab(spark, {"▁": -3.5, **SCORES})
     got = segment.encode(texts, pieces, "t", ["k"], "pieces").first()["pieces"]

@@ -56,6 +56,18 @@ def test_substrings(spark):
     assert one(spark, tx.substrings(F.col("t"), 2), t="") == []
 
 
+def test_characters_are_code_points(spark):
+    assert one(spark, tx.characters(F.col("t")), t="a😀é") == ["a", "😀", "é"]
+    assert sorted(one(spark, tx.substrings(F.col("t"), 2), t="😀é")) == sorted(["😀", "é", "😀é"])
+
+
+def test_map_batches(spark):
+    from lexispark.operators.apply import map_batches
+
+    out = map_batches(spark.range(100), lambda b: b.assign(twice=b["id"] * 2), "id long, twice long", costly=True)
+    assert out.where("twice <> 2 * id").count() == 0 and out.count() == 100
+
+
 def test_given_assertions(spark):
     cases = [([1, 1], 1.0, 0.0), ([2, 2], 2.0, 1.0), ([2, 1], 1.5, 0.5)]
     for pieces, want, share in cases:
