@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -74,11 +74,16 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def with_side(big: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def with_side(big: DataFrame, side: DataFrame, key: str, how: str = "inner", items: Column | None = None) -> DataFrame:
     """Join wide rows with a narrow table that has one row per key.
 
-    `side` is counted first and must be cheap to read. Up to SIDE_ROWS rows it goes to the tasks, so the wide rows stay
-    where they are; a larger one is joined by a shuffle, which adaptive execution splits where it is skewed.
+    `side` is counted first and must be cheap to read. Up to SIDE_ROWS rows (and four times as many `items`, the length
+    of its arrays) it goes to the tasks, so the wide rows stay where they are; a larger one is joined by a shuffle, which
+    adaptive execution splits where it is skewed.
     """
+    if items is not None:
+        total = side.agg(F.coalesce(F.sum(items), F.lit(0))).first()[0]
+        if total > 4 * SIDE_ROWS:
+            return big.join(side, key, how)
     rows = side.limit(SIDE_ROWS + 1).count()
     return big.join(F.broadcast(side) if rows <= SIDE_ROWS else side, key, how)

@@ -77,7 +77,7 @@ def _side(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of `docs`."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and text_hash for every row of `docs`."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     items = written(items.where("n > 0"), "items")
     short = sorted(r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())  # 9 values at most
@@ -147,5 +147,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
-        F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.col("key").alias("text_hash"),
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that share no window with the benchmark."""
+    found = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    found = written(found, "contaminated")
+    rows = found.limit(SIDE_ROWS + 1).count()
+    side = F.broadcast(found) if rows <= SIDE_ROWS else found
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]) & (F.xxhash64(docs["text"]) == side["_hash"]), "left_anti")

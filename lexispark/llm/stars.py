@@ -1,0 +1,69 @@
+"""Links that connect all similar members of lists, without meeting all pairs of a list.
+
+Members of a list (a shared token or block) are candidates for each other. Meeting them all would square a group of
+near copies. So each list's members first meet one member, drawn anew in each round, and what is verified joins them to
+components. After that only members of different components need to meet; once no more of these are left than a few times
+the rows of the lists, they all do, and no connection is lost.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+from .components import components
+
+#: Rounds of stars at most before all pairs of different components meet.
+STARS = 4
+
+
+def connecting_links(lists: DataFrame, compatible: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) of similar members that connect all members of `lists` that similarity connects.
+
+    `lists`: token, member (long), need (how many lists a pair must share, the smaller of the two), info (a struct).
+    `compatible` tests two infos; `verify` keeps those of distinct pairs (a, b) that are similar.
+    """
+    lists = lists.select("token", "member", "need", "info")
+    links = lists.sparkSession.createDataFrame([], "a long, b long")
+    rows_open = lists.withColumn("comp", F.col("member"))
+    for star in range(STARS):
+        row = F.struct("member", "need", "info", "comp")
+        hubs = rows_open.groupBy("token").agg(F.min_by(row, F.xxhash64("member", F.lit(star))).alias("hub"))
+        met = rows_open.join(hubs, "token").where((F.col("comp") != F.col("hub.comp")) & compatible(F.col("info"), F.col("hub.info")))
+        links = written(links.unionByName(verify(_enough(met, F.col("member"), F.col("hub.member"), F.col("need"), F.col("hub.need")))), "links")
+        rows_open = _between(lists, links)
+        rows, left = _work(rows_open)
+        if left <= 2 * rows:
+            break
+    x = rows_open.select("token", *[F.col(c).alias(f"{c}_x") for c in ("member", "need", "info", "comp")])
+    y = rows_open.select("token", *[F.col(c).alias(f"{c}_y") for c in ("member", "need", "info", "comp")])
+    apart = (F.col("member_x") < F.col("member_y")) & (F.col("comp_x") != F.col("comp_y"))
+    met = x.join(y, "token").where(apart & compatible(F.col("info_x"), F.col("info_y")))
+    pairs = _enough(met, F.col("member_x"), F.col("member_y"), F.col("need_x"), F.col("need_y"))
+    return written(links.unionByName(verify(pairs)), "links")
+
+
+def _enough(met: DataFrame, x: Column, y: Column, need_x: Column, need_y: Column) -> DataFrame:
+    """Distinct pairs that meet in as many lists as they need."""
+    pairs = met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.least(need_x, need_y).alias("need"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+
+
+def _between(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of those lists that hold more than one component."""
+    labels = components(links)
+    rows = lists.join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn("comp", F.coalesce("comp", "member"))
+    rows = written(rows, "lists")
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+    return rows.join(mixed, "token", "left_semi")
+
+
+def _work(rows: DataFrame) -> tuple[int, int]:
+    """Rows of lists, and pairs of rows of different components in one list."""
+    sizes = rows.groupBy("token", "comp").agg(F.count("*").cast("double").alias("m"))
+    whole = sizes.groupBy("token").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("own"))
+    total = whole.agg(F.coalesce(F.sum("rows"), F.lit(0.0)), F.coalesce(F.sum((F.col("rows") * F.col("rows") - F.col("own")) / 2), F.lit(0.0))).first()
+    return int(total[0]), int(total[1])

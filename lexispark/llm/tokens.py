@@ -9,7 +9,6 @@ same either way (tested).
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +19,8 @@ MEMORY = 1_000_000
 END_ID = 2
 
 _CLOSING = ".,;:!?%&$#*|)"
-#: Letters of which every release of Unicode says that they are letters.
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+#: One word of characters of which every release of Unicode says that they are letters.
+_LATIN = "^ ?[A-Za-zÀ-ÖØ-öø-ɏ]+$"
 #: Texts that are not words with one space or line end between.
 _ODD = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -51,8 +50,26 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.space = chr(self.letters[0x20])
         self.end = end_id
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Pieces by number, and where each number's ids are in one array."""
+        self.known: dict[str, int] = {}
+        self.stored = np.zeros(1 << 16, np.uint32)
+        self.at = np.zeros(1, np.int64)
+        self._add([("", [])])
+        self._add([("\x01", [self.end])])
+
+    def _add(self, found: list[tuple[str, list[int]]]) -> None:
+        base = len(self.at) - 1
+        self.known.update((piece, base + i) for i, (piece, _) in enumerate(found))
+        ends = self.at[-1] + np.cumsum([len(ids) for _, ids in found], dtype=np.int64)
+        self.at = np.concatenate([self.at, ends])
+        while self.at[-1] > len(self.stored):
+            self.stored = np.concatenate([self.stored, np.zeros_like(self.stored)])
+        self.stored[self.at[base] : self.at[-1]] = np.fromiter((i for _, ids in found for i in ids), np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -60,24 +77,20 @@ class Encoder:
 
     def _word(self, word: str) -> list[int]:
         """Ids of letters, with a space before them or not: one piece for the merges of the model."""
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-
-    def _piece(self, piece: str) -> np.ndarray:
-        body = piece.rstrip(_CLOSING)
-        if _LATIN(body.removeprefix(" ")):
-            ids = self._word(body)
-            tail = piece[len(body) :]
-            if tail:
-                ids = ids + self._ids(tail).tolist()
+        if word.isascii():  # letters stand for themselves, and only the space has another sign
+            letters = self.space + word[1:] if word[0] == " " else word
         else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, np.uint32)
-
-    def _ids(self, piece: str) -> np.ndarray:
-        found = self.known.get(piece)
-        if found is None:
-            found = self.known[piece] = self._piece(piece)
-        return found
+            letters = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(letters)]
+
+    def _numbers(self, pieces: list[str], words: list[bool]) -> np.ndarray:
+        """The number of each piece; those met for the first time are encoded. words: which are letters only."""
+        known = self.known
+        new = {p: w for p, w in zip(pieces, words) if p not in known}
+        self._add([(p, self._word(p)) for p, w in new.items() if w])
+        others = [p for p, w in new.items() if not w]
+        self._add([(p, e.ids) for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False))])
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
@@ -90,20 +103,33 @@ class Encoder:
 
     def _plain(self, texts: pa.Array) -> list[np.ndarray]:
         if len(self.known) > MEMORY:
-            self.known = {}
-        self.known["\x01"] = np.array([self.end], np.uint32)
+            self._forget()
         # Pieces keep the space before them; a line end is a piece of its own, and so is the end.
         cut = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n\x00")
         lists = pc.split_pattern(pc.binary_join_element_wise(cut, "\x01", "\x00"), "\x00")
         coded = lists.flatten().dictionary_encode()
-        ids = [self._ids(p) for p in coded.dictionary.to_pylist()]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        start = np.cumsum(length) - length
+        # A word and the closing punctuation behind it are encoded apart.
+        body = pc.utf8_rtrim(coded.dictionary, characters=_CLOSING)
+        word = pc.match_substring_regex(body, _LATIN)
+        heads, pieces = _values(pc.if_else(word, body, coded.dictionary)), _values(coded.dictionary)
+        tails = [p[len(h) :] for p, h in zip(pieces, heads)]
+        numbers = np.stack([self._numbers(heads, _values(word)), self._numbers(tails, [False] * len(tails))], 1).ravel()
+        ids, ends = _gather(self.stored, self.at[numbers], self.at[numbers + 1] - self.at[numbers])
+        ends = np.concatenate([[0], ends[1::2]])
         which = coded.indices.to_numpy()
-        lengths = length[which]
-        ends = np.cumsum(lengths)
-        places = np.repeat(start[which] - (ends - lengths), lengths)
-        places += np.arange(len(places))
-        flat = np.concatenate(ids)[places]
+        flat, ends = _gather(ids, ends[which], (ends[1:] - ends[:-1])[which])
         bounds = np.concatenate([[0], ends])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
         return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def _values(array: pa.Array) -> list:
+    """Faster than to_pylist, for arrays without nulls."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `values` one after another, and where each ends."""
+    ends = np.cumsum(lengths)
+    places = np.repeat(starts - (ends - lengths), lengths)
+    places += np.arange(len(places))
+    return values[places], ends

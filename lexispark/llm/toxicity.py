@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,3 +218,16 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame) -> Grammar:
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     grammar = fit_from_tables(docs, labels)
     return toxicity(docs, grammar).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+
+
+def without_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:
+    """The rows of `docs`, all columns, that the grammar does not call toxic."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for batch in batches:
+            keep = [grammar.score(grammar.kinds(t, known)) < 0.5 for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
