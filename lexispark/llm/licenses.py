@@ -61,7 +61,7 @@ class Scanner:
             self.seeds.make_automaton()
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, end, errors) in `text`; overlapping finds of a notice become the one with the fewest errors."""
+        """(notice, start, end, errors) in `text`; of finds that overlap, those with fewer errors for their length stay."""
         windows: dict[int, list[tuple[int, int]]] = {}
         for end, (length, places) in self.seeds.iter(text) if len(self.seeds) else ():
             for i, at in places:
@@ -73,7 +73,11 @@ class Scanner:
             for start, end in _joined(spans):
                 for m in self.fuzzy[i].finditer(text, start, end):
                     found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-        return sorted(found, key=lambda f: (f[1], f[0]))
+        kept: list[tuple[int, int, int, int]] = []
+        for f in sorted(found, key=lambda f: (f[3] / (f[2] - f[1]), f[1] - f[2], f[0], f[1])):
+            if all(f[2] <= k[1] or k[2] <= f[1] for k in kept):
+                kept.append(f)
+        return sorted(kept, key=lambda f: (f[1], f[0]))
 
 
 def pieces(notice: str, n: int) -> list[tuple[int, str]]:
