@@ -90,7 +90,12 @@ def _cut(w: Column, n: int):
 
 
 def char_ngrams(c: Column, lo: int, hi: int) -> Column:
-    """Character n-grams that stay inside padded words.
+    """Character n-grams that stay inside padded words."""
+    return F.flatten(F.transform(padded_words(c), lambda w: word_char_ngrams(w, lo, hi)))
+
+
+def word_char_ngrams(word: Column, lo: int, hi: int) -> Column:
+    """Character n-grams of one padded word.
 
     A padded word that is not longer than n gives itself, once: only for the smallest such n.
     """
@@ -108,7 +113,7 @@ def char_ngrams(c: Column, lo: int, hi: int) -> Column:
                 runs.append(F.when(length > n - 1, grams).otherwise(F.array().cast("array<string>")))
         return F.concat(*runs)
 
-    return F.flatten(F.transform(padded_words(c), of_word))
+    return of_word(word)
 
 
 def characters(c: Column) -> Column:

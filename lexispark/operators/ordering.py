@@ -76,8 +76,8 @@ def exact_sample(
 ) -> DataFrame:
     """Exactly n rows (per `by`, all of them if there are fewer), drawn without replacement.
 
-    The bucket counts tell in which bucket the n-th smallest draw lies. Rows of later buckets are
-    dropped before anything is shuffled and only the cut bucket is ranked.
+    The bucket counts tell in which bucket the n-th smallest draw lies. Without `by` that is one number, so rows of other
+    buckets are kept or dropped next to the scan and only those of the cut bucket are shuffled and ranked.
     """
     drawn = df.withColumn("draw", draw_key(key, seed)).withColumn(
         "_bucket", F.substring("draw", 1, DRAW_BUCKET_DIGITS)
@@ -85,14 +85,20 @@ def exact_sample(
     part = [*by, "_bucket"]
     counts = drawn.groupBy(*part).agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
-        counts.withColumn("_upto", F.sum("_n").over(upto))
-        .where(F.col("_upto") - F.col("_n") < n)
-        .withColumn("_need", F.lit(n) - (F.col("_upto") - F.col("_n")))
-    )
-    kept = drawn.join(cut, part)
-    whole = kept.where(F.col("_n") <= F.col("_need"))
+    before = F.col("_upto") - F.col("_n")
+    cut = counts.withColumn("_upto", F.sum("_n").over(upto)).where(before < n)
     rank = F.row_number().over(Window.partitionBy(*part).orderBy("draw"))
+    if not by:
+        # The last bucket that is reached, if the rows before it do not fill the sample with it: one row.
+        last = cut.where(F.col("_upto") > n).select(F.struct("_bucket", (n - before).alias("_need")).alias("last")).scalar()
+        whole = drawn.where(F.coalesce(F.col("_bucket") < last["_bucket"], F.lit(True)))
+        # Buckets past a cut that is filled exactly are dropped as well.
+        filled = cut.agg(F.max("_bucket")).scalar()
+        whole = whole.where(F.col("_bucket") <= filled)
+        partial = drawn.where(F.col("_bucket") == last["_bucket"]).withColumn("_rank", rank).where(F.col("_rank") <= last["_need"])
+        return whole.drop("draw", "_bucket").unionByName(partial.drop("draw", "_bucket", "_rank"))
+    kept = drawn.join(cut.withColumn("_need", F.lit(n) - before), part)
+    whole = kept.where(F.col("_n") <= F.col("_need"))
     partial = (
         kept.where(F.col("_n") > F.col("_need"))
         .withColumn("_rank", rank)

@@ -24,18 +24,15 @@ def accuracy(df: DataFrame, label: str, pred: str, keys: Sequence[str] = ()) ->
     return df.groupBy(*keys).agg(F.avg(hit).alias("accuracy"))
 
 
-def token_accuracy(df: DataFrame, tags: str, preds: str) -> DataFrame:
-    hits = F.size(F.filter(F.zip_with(tags, preds, lambda a, b: a == b), lambda x: x))
-    return df.agg((F.sum(hits) / F.sum(F.size(tags))).alias("accuracy"))
-
-
 def _kind(tag: Column) -> Column:
     return F.substring(tag, 1, 1)
 
 
 def _type(tag: Column) -> Column:
-    """What follows the first dash; without a dash, what follows the first character."""
-    return F.when(F.instr(tag, "-") > 0, F.substring_index(tag, "-", -1)).otherwise(F.substring(tag, F.lit(2), F.length(tag)))
+    """What follows the first character and, if there is one after it, the first dash; an empty type is '_'."""
+    rest = F.substring(tag, F.lit(2), F.length(tag))
+    named = F.when(F.instr(rest, "-") > 0, F.substring(rest, F.instr(rest, "-") + 1, F.length(rest))).otherwise(rest)
+    return F.when(named == "", F.lit("_")).otherwise(named)
 
 
 def _begins(prev: Column, cur: Column) -> Column:
@@ -43,8 +40,8 @@ def _begins(prev: Column, cur: Column) -> Column:
     p, c = _kind(prev), _kind(cur)
     return (
         c.isin("B", "S")
-        | (c.isin("I", "E") & p.isin("E", "S", "O"))
-        | ((c != "O") & (_type(prev) != _type(cur)))
+        | (c.isin("I", "E") & p.isin("E", "S"))
+        | ((c != "O") & ((p == "O") | (_type(prev) != _type(cur))))
     )
 
 
@@ -84,13 +81,15 @@ def entity_scores(df: DataFrame, tags: str, preds: str) -> DataFrame:
     same = F.transform(F.array_intersect(*named), lambda s: F.struct(F.get(F.split(s, ":", 3), F.lit(2)).alias("type")))
     right = F.size(F.filter(F.zip_with(tags, preds, lambda a, b: a == b), lambda x: x))
     found = found.withColumn("hit", same)
-    tokens = F.array(_entry(F.lit(""), "n_tokens", F.size(tags)), _entry(F.lit(""), "n_right", right))
+    # Totals have no type, which no chunk lacks.
+    nothing = F.lit(None).cast("string")
+    tokens = F.array(_entry(nothing, "n_tokens", F.size(tags)), _entry(nothing, "n_right", right))
     kinds = [("gold", "support"), ("guess", "n_pred"), ("hit", "tp")]
     marked = [_mark(column, name) for column, name in kinds]
     entries = explode_rows(found, [], F.flatten(F.array(*marked, tokens)), "e").select("e.*")
     names = ["support", "n_pred", "tp", "n_tokens", "n_right"]
     sums = [F.sum(F.when(F.col("kind") == name, F.col("n")).otherwise(0)).alias(name) for name in names]
-    totals = entries.rollup("type").agg(*sums, F.grouping("type").alias("_all")).where("_all = 1 or type <> ''")
+    totals = entries.rollup("type").agg(*sums, F.grouping("type").alias("_all")).where("_all = 1 or type IS NOT NULL")
     # The table has one row per type by now.
     whole = Window.partitionBy(F.lit(1))
     accuracy = F.max(F.when(F.col("_all") == 1, F.col("n_right") / F.col("n_tokens"))).over(whole)

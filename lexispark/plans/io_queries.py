@@ -207,5 +207,5 @@ def stream_counter(spark, d):
     path = scratch_path(spark, "stream")
     schema = v.table(spark, d, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    counters.append_document_counts(stream, "text", "doc_id", f"{path}/counts", f"{path}/state").awaitTermination()
+    counters.count_stream(stream, "text", f"{path}/counts", f"{path}/state").awaitTermination()
     return counters.corpus_counts(spark, f"{path}/counts")

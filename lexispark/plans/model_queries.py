@@ -216,7 +216,8 @@ def lsa_input(spark, d):
 
     weights, frequency = word_tfidf(spark, d)
     terms = checkpointed(vz.term_table(frequency))
-    rows = checkpointed(fan_out(vz.sparse_rows(weights, terms, "doc_id")))
+    docs = v.table(spark, d, "documents").select("doc_id")
+    rows = checkpointed(fan_out(vz.sparse_rows(weights, terms, "doc_id", docs)))
     return rows, terms, weights
 
 
@@ -230,12 +231,30 @@ def svd(spark, d):
     return ratio.select(F.posexplode(singular).alias("component", "singular_value"), F.round("explained_variance", 4).alias("explained_variance"))
 
 
+@query("q_svd_full_rank", f"""WITH {v.WORDS_SQL}, c AS (SELECT DISTINCT doc_id, token FROM words),
+top AS (SELECT token FROM c GROUP BY token ORDER BY count(*) DESC, token LIMIT 24)
+SELECT (SELECT count(*) FROM documents) AS n_docs, round(count(*)::DOUBLE, 4) AS squares, 1.0::DOUBLE AS explained_variance FROM c WHERE token IN (SELECT token FROM top)""")
+def svd_full_rank(spark, d):
+    """At full rank, over the most frequent terms: the squared singular values add up to the squared weights, nothing is lost."""
+    counts = token_counts(v.words(spark, d, "doc_id"), ["doc_id"], "words").select("doc_id", "token", F.lit(1.0).alias("weight"))
+    counts = checkpointed(counts)
+    top = counts.groupBy("token").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "token").limit(24)
+    terms = checkpointed(vz.term_table(top))
+    weights = checkpointed(counts.join(F.broadcast(terms.select("token")), "token"))
+    rows = checkpointed(vz.sparse_rows(weights, terms, "doc_id", v.table(spark, d, "documents")))
+    embedded, values, _ = decompose.truncated_svd(rows, "doc_id", 24, 24)
+    n = rows.count()
+    ratio = decompose.explained_variance(embedded, "embedding", weights, n)
+    squares = F.lit(round(float((values**2).sum()), 4))
+    return ratio.select(F.lit(n).cast("long").alias("n_docs"), squares.alias("squares"), F.round("explained_variance", 4).alias("explained_variance"))
+
+
 @query("q_kmeans")
 def kmeans(spark, d):
     rows, terms, _ = lsa_input(spark, d)
     embedded, _, _ = decompose.truncated_svd(rows, "doc_id", terms.count(), 20)
     unit = checkpointed(vz.l2_normalize(embedded, "embedding"))
-    labelled, _ = clustering.kmeans(unit, "embedding", 8, starts=3)
+    labelled, _ = clustering.kmeans(unit, "embedding", 8)
     return labelled.groupBy("cluster").agg(F.count("*").alias("n_docs"))
 
 

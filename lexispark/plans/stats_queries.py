@@ -24,17 +24,27 @@ def corpus_counter(spark, d):
 
 DENSE_SQL = v.corpus_vocab_sql(5000) + """,
 langs AS (SELECT DISTINCT lang FROM freq),
+mapped AS (SELECT lang, coalesce(piece, '<unk>') AS piece, sum(cnt) AS cnt FROM freq LEFT JOIN corpus_vocab ON piece = token GROUP BY ALL),
 dense AS (
-  SELECT langs.lang, piece_id, piece, coalesce(cnt, 0) AS cnt FROM langs CROSS JOIN corpus_vocab
-  LEFT JOIN freq ON langs.lang = freq.lang AND piece = token)"""
+  SELECT langs.lang, piece_id, corpus_vocab.piece, CAST(coalesce(cnt, 0) AS BIGINT) AS cnt FROM langs CROSS JOIN corpus_vocab
+  LEFT JOIN mapped ON langs.lang = mapped.lang AND corpus_vocab.piece = mapped.piece)"""
+
+
+def with_unknown(counts, known):
+    """Counts of (lang, token, cnt) where a token that is not in `known` counts as the unknown piece."""
+    keys = [c for c in ("lang", "token") if c in known.columns]
+    marked = counts.join(known.withColumn("_known", F.lit(True)), keys, "left")
+    token = F.when(F.col("_known"), F.col("token")).otherwise("<unk>")
+    return ct.add_counts(marked.select("lang", token.alias("token"), "cnt"), ["lang"])
 
 
 def dense_counts(spark, d):
-    """Counts of each language over the vocabulary of the whole corpus: most pieces are unseen."""
+    """Counts of each language over the vocabulary of the whole corpus: most pieces are unseen, other words are unknown."""
     counts = checkpointed(v.lang_counts(spark, d))
     langs = counts.agg(F.collect_set("lang")).scalar()
-    vocab = v.corpus_vocab(counts, 5000).withColumn("lang", F.explode(langs))
-    return ct.over_vocabulary(vocab, counts, ["lang"]).select("lang", "piece_id", "piece", "cnt")
+    pieces = checkpointed(v.corpus_vocab(counts, 5000))
+    mapped = with_unknown(counts, pieces.select(F.col("piece").alias("token")))
+    return ct.over_vocabulary(pieces.withColumn("lang", F.explode(langs)), mapped, ["lang"]).select("lang", "piece_id", "piece", "cnt")
 
 
 @query("q_dense_freqs", f"WITH {DENSE_SQL} SELECT * FROM dense")
@@ -52,11 +62,8 @@ SELECT f.lang, CAST(sum(CASE WHEN v.piece IS NULL THEN cnt ELSE 0 END) AS BIGINT
 FROM freq f LEFT JOIN vocab v ON f.lang = v.lang AND f.token = v.piece GROUP BY f.lang""")
 def unknown_count(spark, d):
     vocab, counts = v.lang_vocab(spark, d, 1000), v.lang_counts(spark, d)
-    known = vocab.select("lang", F.col("piece").alias("token"), F.lit(True).alias("known"))
-    mapped = counts.join(known, ["lang", "token"], "left").select(
-        "lang", F.when(F.col("known"), F.col("token")).otherwise("<unk>").alias("token"), "cnt"
-    )
-    return ct.unknown_count(ct.over_vocabulary(vocab, ct.add_counts(mapped, ["lang"]), ["lang"]), ["lang"])
+    mapped = with_unknown(counts, vocab.select("lang", F.col("piece").alias("token")))
+    return ct.unknown_count(ct.over_vocabulary(vocab, mapped, ["lang"]), ["lang"])
 
 
 @query("q_probs", f"""WITH {v.LANG_COUNTS_SQL}

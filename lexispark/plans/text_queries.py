@@ -144,8 +144,11 @@ char_grams AS (
 
 @query("q_char_wb", f"WITH {CHAR_WB_SQL} SELECT lang, token, count(*) AS cnt FROM char_grams GROUP BY ALL")
 def char_wb(spark, d):
+    # n-grams never cross words: the corpus is read for its distinct words, and only these are cut.
     docs = v.documents(spark, d, "lang", "text")
-    return token_counts(docs, ["lang"], tx.char_ngrams(F.col("text"), 2, 4))
+    words = token_counts(docs, ["lang"], tx.padded_words(F.col("text")))
+    grams = explode_rows(words, ["lang", "cnt"], tx.word_char_ngrams(F.col("token"), 2, 4), "gram")
+    return grams.groupBy("lang", F.col("gram").alias("token")).agg(F.sum("cnt").alias("cnt"))
 
 
 @query("q_number_norm", f"""WITH {v.WORDS_SQL},

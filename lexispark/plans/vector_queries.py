@@ -30,7 +30,8 @@ def n_docs(spark, d):
 
 def word_tfidf(spark, d):
     words = v.words(spark, d, "doc_id").select("doc_id", tx.mark_numbers(F.col("words")).alias("words"))
-    counts = token_counts(words, ["doc_id"], "words")
+    # Read twice, for the frequencies and the weights, so it is written once.
+    counts = checkpointed(token_counts(words, ["doc_id"], "words"))
     frequency = checkpointed(vz.document_frequency(counts, n_docs(spark, d), 2, 0.5))
     return vz.tfidf(counts, frequency, "doc_id"), frequency
 

@@ -71,11 +71,25 @@ def fan_out(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a scan yields fewer partitions than there are cores.
+    """Use all cores for a table that is small in bytes: a scan of few splits, which together hold SPREAD_BYTES at most.
 
-    A corpus in many files is left as the scan split it, so this never shuffles big input.
+    Anything larger is left as the scan split it, so a corpus is never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    parts = df.rdd.getNumPartitions()
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if parts >= cores or parts * split > SPREAD_BYTES:
         return df
     return df.repartition(cores)
+
+
+#: At most so much text is shuffled to use idle cores.
+SPREAD_BYTES = 2 << 30
+
+
+def _bytes(size: str) -> int:
+    """A setting such as 134217728b, 16m or 1g as a number."""
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    number = size.lower().rstrip("b") or "0"
+    return int(number[:-1]) * units[number[-1]] if number[-1] in units else int(number)

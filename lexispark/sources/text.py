@@ -7,6 +7,8 @@ counted inside a split, which is bounded by the split size, and split totals are
 
 from __future__ import annotations
 
+import codecs
+import io
 import lzma
 from collections.abc import Iterator, Sequence
 
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_text, strip_both, strip_right
 from ..operators.ordering import dense_index, running_total
+from ..session import checkpointed
 
 
 def _split_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -101,24 +104,31 @@ def read_documents(
     return docs.select("src", "doc_ord", "start_line", F.array_join("lines", " ").alias("text"))
 
 
-def documents_from_lines(lines: DataFrame, order: str, bucket_width: int = 100_000) -> DataFrame:
-    """Document blocks of a line table (src, `order`, line) whose order is an integer column."""
+def documents_from_lines(lines: DataFrame, order: str, bucket_width: int = 100_000, strip=strip_right) -> DataFrame:
+    """Document blocks of a line table (src, `order`, line) whose order is an integer column.
+
+    Separators are lines that are empty as they stand; `strip` is applied to the others.
+    """
     rows = lines.withColumn("is_sep", (F.col("line") == "").cast("long"))
     bucket = F.floor(F.col(order) / bucket_width)
     rows = running_total(rows, "is_sep", [order], bucket, ["src"], "doc_ord")
     totals = rows.groupBy("src").agg(F.sum("is_sep").alias("total_doc_ord"))
     rows = rows.join(totals, "src").withColumn("file_line", F.col(order))
-    return document_blocks(rows.withColumn("line", strip_right(F.col("line"))))
+    return document_blocks(rows.withColumn("line", strip(F.col("line"))))
 
 
 _BLOCK = 1 << 20
 
 
 def _unpack(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Decode xz contents as a stream: only one block of plain bytes is held at a time."""
+    """Decode xz contents as a stream: only one block of plain text is held at a time.
+
+    As in text mode, a line ends at a line feed, a carriage return or both.
+    """
     for batch in files:
         for src, content in zip(batch["src"], batch["content"]):
-            decoder, rest, number = lzma.LZMADecompressor(), b"", 0
+            decoder, rest, number = lzma.LZMADecompressor(), "", 0
+            text = io.IncrementalNewlineDecoder(codecs.getincrementaldecoder("utf-8")(), translate=True)
             data = content
             while True:
                 plain = decoder.decompress(data, max_length=_BLOCK)
@@ -128,15 +138,14 @@ def _unpack(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     finished = False
                 else:
                     finished = decoder.eof
-                parts = (rest + plain).split(b"\n")
+                parts = (rest + text.decode(plain, final=finished)).split("\n")
                 rest = parts.pop()
                 if finished and rest:
                     parts.append(rest)
                 if parts:
                     numbers = range(number, number + len(parts))
                     number += len(parts)
-                    lines = [p.decode("utf-8") for p in parts]
-                    yield pd.DataFrame({"src": src, "file_line": numbers, "line": lines})
+                    yield pd.DataFrame({"src": src, "file_line": numbers, "line": parts})
                 if finished:
                     break
                 if not plain and not data and decoder.needs_input:
@@ -149,15 +158,20 @@ def unpack_xz(files: DataFrame) -> DataFrame:
 
 
 def read_documents_xz(spark: SparkSession, paths: str | Sequence[str], max_docs: int | None = None) -> DataFrame:
-    """Documents of xz files; lines are stripped on both sides and a stripped blank line separates."""
-    files = spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths)
+    """Documents of xz files, at most `max_docs` of each; an empty line separates, the others are stripped on both sides."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths) if not isinstance(paths, str) else paths)
     return documents_from_xz(files.select(F.col("path").alias("src"), "content"), max_docs)
 
 
 def documents_from_xz(files: DataFrame, max_docs: int | None = None) -> DataFrame:
-    lines = unpack_xz(files).withColumn("line", strip_both(F.col("line")))
-    docs = documents_from_lines(lines, "file_line")
-    return docs.where(F.col("doc_ord") < max_docs) if max_docs else docs
+    """As above from (src, content). With a limit of 0, a file still gives its first document if its first line is empty."""
+    # The lines are read several times; they are decoded once.
+    docs = documents_from_lines(checkpointed(unpack_xz(files)), "file_line", strip=strip_both)
+    if max_docs is None:
+        return docs
+    if max_docs == 0:
+        return docs.where((F.col("doc_ord") == 0) & (F.size("lines") == 0))
+    return docs.where(F.col("doc_ord") < max_docs)
 
 
 def read_splits(spark: SparkSession, files: dict[str, Sequence[str]]) -> DataFrame:

@@ -1,5 +1,5 @@
 """Streams of text. The text functions are stateless column expressions, so they run on a stream as
-they do on a table; counts of a stream are kept as mergeable partial counts in a table."""
+they do on a table; counts of a stream are kept as partial counts, one table per batch, that can be summed at any time."""
 
 from __future__ import annotations
 
@@ -7,32 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.rows import explode_rows
 from ..functions.text import analyzed_words
-from ..operators.counting import add_counts
+from ..operators.counting import add_counts, token_counts
 
 
-def tokens_of(stream: DataFrame, text: str, *keys: str) -> DataFrame:
-    """keys, token: one row per word."""
-    return explode_rows(stream, keys, analyzed_words(F.col(text)), "token")
+def count_stream(stream: DataFrame, text: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the word counts of each batch of new documents; stops when all present input is done.
 
+    A batch is written under its number and replaces what an interrupted try has left there, so each document counts
+    exactly once. Words are summed before they are written: a batch takes one row per distinct word.
+    """
 
-def append_document_counts(stream: DataFrame, text: str, key: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Write one (key, token, 1) row per word of every new document; stops when all present input is done.
+    def write(batch: DataFrame, number: int) -> None:
+        counts = token_counts(batch.select(analyzed_words(F.col(text)).alias("words")), [], "words")
+        counts.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    A stateless query with a file sink: each word is written exactly once, and the table can be summed
-    at any time.
-    """
-    rows = tokens_of(stream, text, key).withColumn("cnt", F.lit(1).cast("long"))
-    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start(path)
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
 
 def corpus_counts(spark: SparkSession, path: str) -> DataFrame:
     """The corpus counter as of now."""
-    return add_counts(spark.read.parquet(path), [])
-
-
-def running_counts(stream: DataFrame, text: str) -> DataFrame:
-    """token, cnt over everything seen so far, for sinks that take complete or update output."""
-    return tokens_of(stream, text).groupBy("token").agg(F.count("*").alias("cnt"))
+    return add_counts(spark.read.schema("token string, cnt long, batch long").parquet(path), [])

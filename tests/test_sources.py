@@ -71,12 +71,20 @@ def test_lines(spark, tmp_path, small_splits):
 
 
 def test_xz(spark, tmp_path):
-    body = " a \nb\n \n\n" + "long " * 300000 + "\n\nlost"
+    body = " a \nb\n \n\n" + "long " * 300000 + "\r\n\r\n\nc\rd\n\nlost"
     path = tmp_path / "d.xz"
     path.write_bytes(lzma.compress(body.encode()) + lzma.compress(b" tail\n\n"))
     rows = sorted(st.read_documents_xz(spark, str(path)).collect(), key=lambda r: r["doc_ord"])
-    assert [r["lines"] for r in rows] == [["a", "b"], [], [("long " * 300000).strip()], ["lost tail"]]
+    # A line of one blank separates nothing; it is an empty line of its document.
+    assert [r["lines"] for r in rows] == [["a", "b", ""], [("long " * 300000).strip()], [], ["c", "d"], ["lost tail"]]
     assert st.read_documents_xz(spark, str(path), 2).count() == 2
+    assert st.read_documents_xz(spark, str(path), 0).count() == 0
+
+
+def test_xz_limit_zero_reads_one_line(spark, tmp_path):
+    path = tmp_path / "e.xz"
+    path.write_bytes(lzma.compress(b"\na\n\n"))
+    assert [r["lines"] for r in st.read_documents_xz(spark, str(path), 0).collect()] == [[]]
 
 
 def test_broken_xz(spark, tmp_path):
