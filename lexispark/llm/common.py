@@ -12,6 +12,8 @@ from ..session import scratch_path
 
 #: A side table up to this many rows (and, by its caller's arithmetic, some MB) is sent to all tasks instead of shuffled.
 SIDE_ROWS = 500_000
+#: And so is one whose arrays hold up to so many numbers, 64 MB of them.
+SIDE_NUMBERS = 8_000_000
 
 # ASCII letters and digits are word bytes, and so is every byte of a non-ASCII character.
 _WORD = bytes(range(0x30, 0x3A)) + bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -77,13 +79,13 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 def with_side(big: DataFrame, side: DataFrame, key: str, how: str = "inner", items: Column | None = None) -> DataFrame:
     """Join wide rows with a narrow table that has one row per key.
 
-    `side` is counted first and must be cheap to read. Up to SIDE_ROWS rows (and four times as many `items`, the length
-    of its arrays) it goes to the tasks, so the wide rows stay where they are; a larger one is joined by a shuffle, which
-    adaptive execution splits where it is skewed.
+    `side` is counted first and must be cheap to read. Up to SIDE_ROWS rows (and SIDE_NUMBERS `items`, the length of its
+    arrays) it goes to the tasks, so the wide rows stay where they are; a larger one is joined by a shuffle, which adaptive
+    execution splits where it is skewed.
     """
     if items is not None:
         total = side.agg(F.coalesce(F.sum(items), F.lit(0))).first()[0]
-        if total > 4 * SIDE_ROWS:
+        if total > SIDE_NUMBERS:
             return big.join(side, key, how)
     rows = side.limit(SIDE_ROWS + 1).count()
     return big.join(F.broadcast(side) if rows <= SIDE_ROWS else side, key, how)
