@@ -142,7 +142,7 @@ def doc_to_label(spark, d):
 @query("q_predictions_tsv", f'WITH {SCORES_SQL} SELECT vec_id AS "index", pred AS prediction FROM preds')
 def predictions_tsv(spark, d):
     path = scratch_path(spark, "predictions")
-    rows = v.embeddings(spark, d).select("vec_id", argmax(F.slice("embedding", 1, 10)).alias("pred"))
+    rows = v.embeddings(spark, d).select("vec_id", argmax(F.col("embedding")).alias("pred"))
     wr.write_predictions_tsv(rows, path, "vec_id", "pred")
     return spark.read.schema("index long, prediction int").option("sep", "\t").option("header", True).csv(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import results as rs
@@ -134,12 +136,13 @@ def _weight_sql() -> str:
 
 
 @query("q_series_band", f"""WITH {REGIME_SQL},
-reps AS (SELECT r.*, unnest(range(100)) AS replicate FROM regimes r WHERE regime = 'in'),
+reps AS (SELECT r.*, unnest(range(100)) AS replicate FROM regimes r WHERE regime IN ({', '.join(repr(r) for r in rs.REPLICATES)})),
 drawn AS (SELECT *, md5(concat_ws(':', model, lang_src, lang_tgt, seed, replicate)) AS u FROM reps),
-means AS (SELECT lang_tgt, model, replicate, sum(value * w) / nullif(sum(w), 0) AS m FROM (SELECT *, {_weight_sql()} AS w FROM drawn) GROUP BY ALL)
-SELECT lang_tgt, model, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM means GROUP BY ALL""")
+means AS (SELECT regime, lang_tgt, model, replicate, sum(value * w) / nullif(sum(w), 0) AS m FROM (SELECT *, {_weight_sql()} AS w FROM drawn) GROUP BY ALL)
+SELECT regime, lang_tgt, model, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM means GROUP BY ALL""")
 def series_band(spark, d):
-    return rounded(rs.series_band(by_regime(spark, d, "in"), 100), "low", "high")
+    parts = [rs.series_band(by_regime(spark, d, r), 100).withColumn("regime", F.lit(r)) for r in rs.REPLICATES]
+    return rounded(reduce(lambda a, b: a.unionByName(b), parts), "low", "high")
 
 
 GRID_SQL = v.RESULTS_SQL + """,

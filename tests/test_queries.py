@@ -39,6 +39,19 @@ def test_same_answer(spark, duck, name):
     assert rows(mine) == rows(theirs)
 
 
+@pytest.mark.parametrize("name", sorted(n for n in set(entry.queries()) - set(entry.oracle_sql()) if n.startswith("q_")))
+def test_runs_in_a_plain_session(spark, name):
+    """Queries without SQL give rows where Arrow conversion is off, as it is by default."""
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        rows = entry.queries()[name](spark, SF).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    assert rows
+    if name == "q_kmeans":
+        assert sum(r["n_docs"] for r in rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def test_every_query_is_known():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
