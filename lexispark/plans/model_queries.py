@@ -52,18 +52,23 @@ def subword_vocab(spark, d):
 
 
 # Best score per position of each word, position after position: bests[i] is the best score of the first i - 1 characters.
-@query("q_encode_score", f"""WITH RECURSIVE {SUBWORDS_SQL},
+# And its number of pieces: ns[i]. Every character of the words is a piece, so nothing is unknown.
+BEST_SQL = f"""{SUBWORDS_SQL},
 pieces AS (SELECT piece, ln(cnt / (SELECT sum(cnt) FROM seeds)) AS score FROM seeds),
 longest AS (SELECT max(length(piece)) AS m FROM pieces),
 cuts AS (SELECT word, s, unnest(range(1, least((SELECT m FROM longest), length(word) - s + 1) + 1)) AS n FROM starts),
 edges AS MATERIALIZED (
   SELECT word, CAST(s AS BIGINT) AS s, CAST(s + n - 1 AS BIGINT) AS e, score FROM cuts JOIN pieces ON piece = substr(word, s, n)),
 best AS (
-  SELECT word, CAST(0 AS BIGINT) AS e, [0.0::DOUBLE] AS bests FROM marked
+  SELECT word, CAST(0 AS BIGINT) AS e, [0.0::DOUBLE] AS bests, [0] AS ns FROM marked
   UNION ALL
-  SELECT b.word, b.e + 1, list_append(any_value(b.bests), max(b.bests[g.s] + g.score))
-  FROM best b JOIN edges g ON g.word = b.word AND g.e = b.e + 1 GROUP BY b.word, b.e)
-SELECT word, round(bests[-1], 6) AS score FROM best WHERE e = length(word)""")
+  SELECT b.word, b.e + 1, list_append(any_value(b.bests), max(b.bests[g.s] + g.score)),
+    list_append(any_value(b.ns), arg_max(b.ns[g.s] + 1, b.bests[g.s] + g.score))
+  FROM best b JOIN edges g ON g.word = b.word AND g.e = b.e + 1 GROUP BY b.word, b.e),
+solved AS (SELECT word, bests[-1] AS score, ns[-1] AS n FROM best WHERE e = length(word))"""
+
+
+@query("q_encode_score", f"WITH RECURSIVE {BEST_SQL} SELECT word, round(score, 6) AS score FROM solved")
 def encode_score(spark, d):
     words = marked_words(spark, d)
     return segment.encode_words(words, subword_vocab(spark, d)).select("word", F.round("score", 6).alias("score"))
@@ -76,12 +81,16 @@ def encode_unigram(spark, d):
     return out.select("doc_id", F.size("ids").alias("n_tokens"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
-@query("q_fertility_unigram")
+@query("q_fertility_unigram", f"""WITH RECURSIVE {BEST_SQL},
+by_lang AS (SELECT lang, '▁' || token AS word, count(*) AS c FROM words GROUP BY ALL)
+SELECT lang, round(sum(n * c) / sum(c), 9) AS fertility, round(sum(CASE WHEN n > 1 THEN c ELSE 0 END) / sum(c), 9) AS continued_share
+FROM by_lang JOIN solved USING (word) GROUP BY lang""")
 def fertility_unigram(spark, d):
     counts = v.lang_counts(spark, d).withColumn("word", F.concat(F.lit(WORD_START), "token"))
     encoded = segment.encode_words(counts.select("word").distinct(), subword_vocab(spark, d))
     pieces = counts.join(encoded.select("word", F.size("pieces").alias("n_pieces")), "word")
-    return fertility(pieces, ["lang"], weight="cnt")
+    out = fertility(pieces, ["lang"], weight="cnt")
+    return out.select("lang", *[F.round(c, 9).alias(c) for c in ("fertility", "continued_share")])
 
 
 @query("q_char_coverage", f"""WITH {v.WORDS_SQL}, chars AS (
