@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, _slices, per_batch, written
+from .common import _arrow_schema, _slices
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 912_839_107)
@@ -140,7 +141,6 @@ def edited(text: str, following: str) -> str:
 
 
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
-_FIELDS = [f.split()[0] for f in ROW.split(", ")]
 
 
 def _compare(doc_id, text: str, mark: str, prefix: PrefixHash, following: str, next_mark: str) -> dict:
@@ -154,52 +154,43 @@ def _compare(doc_id, text: str, mark: str, prefix: PrefixHash, following: str, n
     }
 
 
+def _in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
+    """Add `bucket`, ranges of doc_id with about as many rows each; rows without doc_id are in the first one."""
+    inner = F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000) if ranges > 1 else F.lit(None)
+    cuts = sorted({float(c) for c in docs.agg(inner.alias("cuts")).first()[0] or []})
+    splits = [-float("inf"), *(cuts or [0.0]), float("inf")]
+    number = docs.withColumn("_number", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)))
+    return Bucketizer(splits=splits, inputCol="_number", outputCol="bucket").transform(number).drop("_number")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each row of `docs` (doc_id, text), compared with its edited text and with the next document.
 
-    Rows are range-partitioned by doc_id and compared inside each partition. What is left are the two texts at each
-    border, which a second small step compares.
+    Documents are shuffled once, by ranges of doc_id. The first document of each range also goes to the range before (that
+    of the first range to the last), where it follows the last document. Rows without doc_id come first.
     """
-    clean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = clean.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    numbered = ranged.withColumn("part", F.spark_partition_id())
-    schema = f"{ROW}, part int, role string, text string"
-    arrow = _arrow_schema(docs.sparkSession, schema)
+    clean = _in_ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 2 * parts)
+    firsts = clean.groupBy("bucket").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
+    # One row for each range, of which there are twice as many as shuffle partitions.
+    order = Window.orderBy("bucket")
+    ahead = firsts.withColumn("_before", F.lag("bucket").over(order)).withColumn("_last", F.max("bucket").over(Window.partitionBy()))
+    ahead = ahead.select(F.coalesce("_before", "_last").alias("bucket"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("ahead"))
+    rows = clean.select("bucket", "doc_id", "text", F.lit(False).alias("ahead")).unionByName(ahead)
+    ranged = rows.repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text")
+    arrow = _arrow_schema(docs.sparkSession, ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for batch in batches:
             for piece in _slices(batch, 8 << 20):
-                rows = []
-                for doc_id, text, part in zip(*(piece.column(i).to_pylist() for i in range(3))):
+                out = []
+                for doc_id, text, last in zip(*(piece.column(i).to_pylist() for i in range(3))):
                     prefix = PrefixHash(text)
                     mark = fingerprint(text, prefix)
-                    if before is None:
-                        rows.append({"doc_id": doc_id, "part": part, "role": "first", "text": text})
-                    else:
-                        rows.append(_compare(*before[:4], text, mark) | {"role": "done"})
-                    before = (doc_id, text, mark, prefix, part)
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-        if before is not None:
-            yield pa.RecordBatch.from_pylist([{"doc_id": before[0], "part": before[4], "role": "last", "text": before[1]}], schema=arrow)
-
-    rows = written(numbered.mapInArrow(run, schema), "fingerprints")
-    borders = rows.where("role = 'last'").select("doc_id", "part", "text")
-    # The next partition with rows, or the first one of all; one narrow row per partition.
-    order = rows.where("role = 'first'").select("part").withColumn("next", F.lead("part").over(Window.orderBy("part")))
-    order = order.withColumn("next", F.coalesce("next", F.min("part").over(Window.partitionBy())))
-    firsts = rows.where("role = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"))
-    pairs = borders.join(order, "part").join(firsts, "next").select("doc_id", "text", "following")
-
-    def make():
-        def work(batch):
-            out = []
-            for doc_id, text, following in zip(batch["doc_id"], batch["text"], batch["following"]):
-                prefix = PrefixHash(text)
-                out.append(_compare(doc_id, text, fingerprint(text, prefix), prefix, following, fingerprint(following)))
-            yield {f: [r[f] for r in out] for f in _FIELDS}
-
-        return work
-
-    return rows.where("role = 'done'").select(*_FIELDS).unionByName(per_batch(pairs, ["doc_id", "text", "following"], ROW, make))
+                    if before is not None:
+                        out.append(_compare(*before, text, mark))
+                    before = None if last else (doc_id, text, mark, prefix)
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return ranged.select("doc_id", "text", "ahead").mapInArrow(run, ROW)
