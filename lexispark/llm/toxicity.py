@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import per_batch, written
 
 #: The classifier is fitted on at most this many labelled rows, those with the smallest hash of their id.
 FIT_ROWS = 20_000
 #: Stems of this many characters at least, and at most.
 STEM = (3, 8)
+#: A stem may have to be met in up to so many different words of a text.
+LEVELS = 4
 
 # Words of the transducers.
 INSULTS = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
@@ -42,29 +44,41 @@ _CLAUSE = re.compile(r"[.!?;:\n]+")
 
 @dataclass
 class Grammar:
-    stems: frozenset[str] = frozenset(INSULTS)
+    """Stems of insults with the number of different words that must have a stem in one text, and weights of the kinds."""
+
+    stems: dict[str, int] = field(default_factory=lambda: dict.fromkeys(INSULTS, 1))
     weights: dict[str, float] = field(default_factory=lambda: {"bias": -3.0, "insult": 5.0, "insult_at_target": 6.0, "insult_negated": 1.0, "insult_reported": 1.5, "threat_at_target": 4.0, "threat_other": 0.5})
 
-    def classes(self, word: str, known: dict[str, str]) -> str:
-        """The input symbol of a word: I insult, H threat, T target, N negation, R report, or nothing."""
-        symbol = known.get(word)
-        if symbol is None:
-            if word in self.stems or any(word[:n] in self.stems for n in range(STEM[0], min(len(word), STEM[1]) + 1)):
-                symbol = "I"
+    def read(self, word: str, known: dict[str, tuple]) -> tuple:
+        """(symbol, stems): the input symbol of a word, and the stems that make it an insult where enough words have them."""
+        found = known.get(word)
+        if found is None:
+            own = {word[:n] for n in range(STEM[0], min(len(word), STEM[1]) + 1)} | {word}
+            stems = tuple(s for s in own if s in self.stems)
+            if any(self.stems[s] == 1 for s in stems):
+                found = "I", ()
             else:
-                symbol = next((s for s, words in _LEXICON if word in words), "")
-            if len(known) > 500_000:
+                found = next((s for s, words in _LEXICON if word in words), "."), stems
+            if len(known) > 300_000:
                 known.clear()
-            known[word] = symbol
-        return symbol
+            known[word] = found
+        return found
 
-    def kinds(self, text: str | None, known: dict[str, str]) -> Counter:
+    def kinds(self, text: str | None, known: dict[str, tuple]) -> Counter:
         """How many clauses of each kind a text has."""
+        clauses = [_WORD.findall(c) for c in _CLAUSE.split((text or "").lower())]
+        seen: dict[str, set] = defaultdict(set)
+        read = [[self.read(w, known) for w in words] for words in clauses]
+        for words, symbols in zip(clauses, read):
+            for w, (_, stems) in zip(words, symbols):
+                for s in stems:
+                    seen[s].add(w)
+        met = {s for s, words in seen.items() if len(words) >= self.stems[s]}
         found: Counter = Counter()
-        for clause in _CLAUSE.split((text or "").lower()):
-            symbols = "".join(self.classes(w, known) or "." for w in _WORD.findall(clause))
-            if "I" in symbols or "H" in symbols:
-                kind = clause_kind(symbols)
+        for symbols in read:
+            tape = "".join("I" if stems and not met.isdisjoint(stems) else symbol for symbol, stems in symbols)
+            if "I" in tape or "H" in tape:
+                kind = clause_kind(tape)
                 if kind:
                     found[kind] += 1
         return found
@@ -92,79 +106,108 @@ def clause_kind(symbols: str) -> str | None:
     return next((kind for kind, path in _PATHS if path.search(symbols)), None)
 
 
-def _stems_of(text: str | None) -> set[str]:
+def _stems_of(text: str | None) -> set[tuple[str, int]]:
+    """(stem, k) for every stem that k different words of a text have, up to LEVELS."""
     words = set(_WORD.findall((text or "").lower()))
-    return {w[:n] for w in words for n in range(STEM[0], min(len(w), STEM[1]) + 1)}
+    count = Counter(w[:n] for w in words for n in range(STEM[0], min(len(w), STEM[1]) + 1))
+    return {(s, k) for s, n in count.items() for k in range(1, min(n, LEVELS) + 1)}
+
 
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Grammar:
+    """A grammar from texts (doc_id, text) and labels (doc_id, toxic), of which at most `rows` are used.
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Grammar:
-    """A grammar from (doc_id, text, toxic). Rows without a label are left out."""
-    sample = labelled.where("toxic IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("_h"))
-    sample = sample.orderBy("_h").limit(rows).drop("_h")
-    count = _stem_counts(sample)
-    totals = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    The bounded choice of labels is made before texts are looked at, so that only these texts move.
+    """
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
+    totals = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") != 0).cast("int")), F.lit(0))).first()
     n, toxic = int(totals[0]), int(totals[1])
     if not toxic or toxic == n:
         return Grammar()
-    candidates = _candidates(count, n, toxic)
-    stems = _cover(sample, candidates) | set(INSULTS)
-    grammar = Grammar(frozenset(stems))
+    found = _candidates(_stem_counts(sample), toxic)
+    stems = dict.fromkeys(INSULTS, 1)
+    for stem, level in _cover(sample, found):
+        stems[stem] = min(level, stems.get(stem, level))
+    grammar = Grammar(stems)
     grammar.weights = _fit_weights(sample, grammar)
     return grammar
 
 
 def _stem_counts(sample: DataFrame) -> DataFrame:
+    """stem, level, and in how many clean and toxic texts."""
+
     def make():
         def work(batch):
-            seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                for stem in _stems_of(text):
-                    seen[stem][toxic != 0] += 1
-            yield {"stem": list(seen), "clean": [v[0] for v in seen.values()], "toxic": [v[1] for v in seen.values()]}
+                for key in _stems_of(text):
+                    seen[key][toxic != 0] += 1
+            yield {"stem": [k[0] for k in seen], "level": [k[1] for k in seen], "clean": [v[0] for v in seen.values()], "toxic": [v[1] for v in seen.values()]}
 
         return work
 
-    parts = per_batch(sample, ["text", "toxic"], "stem string, clean long, toxic long", make)
-    return parts.groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    parts = per_batch(sample, ["text", "toxic"], "stem string, level int, clean long, toxic long", make)
+    return parts.groupBy("stem", "level").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
 
+def _candidates(count: DataFrame, toxic: int) -> dict[tuple[str, int], int]:
+    """Stems and levels that toxic texts have and clean ones hardly, with the number of clean ones.
 
-def _candidates(count: DataFrame, n: int, toxic: int) -> set[str]:
-    """Stems of toxic rows that clean rows hardly have, without those that a shorter candidate covers."""
+    One that a shorter stem or a lower level makes needless is left out.
+    """
     least = max(3, round(0.004 * toxic))
-    rare = F.col("clean") <= F.col("toxic") * 0.02
-    rows = count.where((F.col("toxic") >= least) & rare).collect()  # of at most `rows` texts
-    found = {r["stem"]: (r["toxic"], r["clean"]) for r in rows}
-    return {s for s, v in found.items() if not (s[:-1] in found and found[s[:-1]][1] * v[0] <= v[1] * found[s[:-1]][0])}
+    rows = count.where((F.col("toxic") >= least) & (F.col("clean") <= F.col("toxic") * 0.05)).collect()  # of a bounded sample
+    found = {(r["stem"], r["level"]): (r["toxic"], r["clean"]) for r in rows}
 
+    longer: dict[tuple[str, int], tuple] = {}
+    for (stem, level), own in found.items():
+        longer.setdefault((stem[:-1], level), own)
+        longer[stem[:-1], level] = max(longer[stem[:-1], level], own)
 
-def _cover(sample: DataFrame, candidates: set[str]) -> set[str]:
-    """The fewest candidates, greedily, that are in all toxic rows of the sample that have any."""
+    def needless(key: tuple[str, int], own: tuple[int, int]) -> bool:
+        shorter = found.get((key[0][:-1], key[1])), found.get((key[0], key[1] - 1))
+        more = any(o and o[0] > own[0] and o[1] <= own[1] for o in shorter)
+        # Of stems in the same rows the longest stays, which is the most careful one.
+        return more or longer.get(key) == own
+
+    return {key: own[1] for key, own in found.items() if not needless(key, own)}
+
+
+def _cover(sample: DataFrame, candidates: dict[tuple[str, int], int]) -> list[tuple[str, int]]:
+    """Few candidates that are in the toxic rows of the sample, greedily; a clean row weighs as much as three of them."""
+    names = set(candidates)
+    plain = Grammar()
 
     def make():
+        known: dict[str, tuple] = {}
+
         def work(batch):
-            yield {"stems": [sorted(_stems_of(t) & candidates) for t in batch["text"]]}
+            texts = [t for t in batch["text"] if not plain.kinds(t, known)]  # the fixed words find the others
+            yield {"stems": [[f"{s} {k}" for s, k in sorted(_stems_of(t) & names)] for t in texts]}
 
         return work
 
-    rows = [set(r["stems"]) for r in per_batch(sample.where("toxic <> 0"), ["text"], "stems array<string>", make).collect()]
-    chosen: set[str] = set()
+    rows = per_batch(sample.where("toxic <> 0"), ["text"], "stems array<string>", make).collect()
+    left = [{(s.split(" ")[0], int(s.split(" ")[1])) for s in r["stems"]} for r in rows]
+    chosen: list[tuple[str, int]] = []
     while True:
-        gain = Counter(s for r in rows for s in r)
-        if not gain:
-            return chosen
-        # Ties go to the longer stem, which is the more careful one.
-        best = max(gain, key=lambda s: (gain[s], len(s), s))
-        if gain[best] < 2:
+        gain = Counter(key for r in left for key in r)
+        for key in gain:
+            gain[key] -= 3 * candidates[key]
+        # Ties go to the higher level and the longer stem, which are the more careful ones.
+        best = max(gain, key=lambda s: (gain[s], s[1], len(s[0]), s), default=None)
+        if best is None or gain[best] < 2:
             return chosen
-        chosen.add(best)
-        rows = [r for r in rows if best not in r]
+        chosen.append(best)
+        left = [r for r in left if best not in r]
 
 
 def _fit_weights(sample: DataFrame, grammar: Grammar) -> dict[str, float]:
     """Logistic weights of the kinds by Newton steps with a ridge towards the default weights."""
 
     def make():
-        known: dict[str, str] = {}
+        known: dict[str, tuple] = {}
 
         def work(batch):
             found = [grammar.kinds(t, known) for t in batch["text"]]
@@ -191,7 +234,7 @@ def toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, score, predicted and the number of clauses of each kind, for every row of `docs` (doc_id, text)."""
 
     def make():
-        known: dict[str, str] = {}
+        known: dict[str, tuple] = {}
 
         def work(batch):
             found = [grammar.kinds(t, known) for t in batch["text"]]
@@ -211,8 +254,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit_from_tables(docs: DataFrame, labels: DataFrame) -> Grammar:
-    known = labels.select("doc_id", "toxic").where(~held_out()).where("toxic IS NOT NULL").dropDuplicates(["doc_id"])
-    return fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    return fit(docs, labels.where(~held_out()))
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -225,7 +267,7 @@ def without_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
+        known: dict[str, tuple] = {}
         for batch in batches:
             keep = [grammar.score(grammar.kinds(t, known)) < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
