@@ -24,13 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends at files that every executor can reach."""
+def written(df: DataFrame, name: str, used: list[str] | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage ends at files that every executor can reach.
+
+    The path is added to `used`, for `removed` when nothing reads the table any more.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if used is not None:
+        used.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, used: list[str]) -> None:
+    """Remove tables of finished steps. Call it once what was made of them is written."""
+    for path in used:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    used.clear()
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

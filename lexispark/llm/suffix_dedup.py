@@ -142,8 +142,9 @@ def _stretch_rows(docs: DataFrame) -> DataFrame:
 
 def _with_bytes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """`rows` (anchor, doc, at, n, hot) with the bytes of their windows, read from the documents."""
-    per_doc = rows.groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", "n", "hot")).alias("spans"))
-    chosen = with_side(docs, written(per_doc, "spans"), "doc", items=3 * F.size("spans"))
+    shape = F.col("n") * 2 + F.col("hot").cast("int")
+    per_doc = rows.groupBy("doc").agg(F.flatten(F.collect_list(F.array("anchor", "at", shape.cast("long")))).alias("spans"))
+    chosen = with_side(docs, written(per_doc, "spans"), "doc", items=F.size("spans"))
     schema = "anchor long, doc long, at long, n int, hot boolean, data binary"
     arrow = _arrow_schema(docs.sparkSession, schema)
 
@@ -153,10 +154,10 @@ def _with_bytes(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 out: list[tuple] = []
                 for doc, base, text, spans in zip(*(part.column(i).to_pylist() for i in range(4))):
                     data = (text or "").encode("utf-8", "surrogatepass")
-                    for s in spans:
-                        at = s["at"] - base
+                    for anchor, place, shape in zip(spans[::3], spans[1::3], spans[2::3]):
+                        at, n = place - base, shape // 2
                         if 0 <= at < len(data):  # else it belongs to another text with this doc_id
-                            out.append((s["anchor"], doc, s["at"], s["n"], s["hot"], data[at : at + s["n"] + LENGTH - 1]))
+                            out.append((anchor, doc, place, n, shape % 2 == 1, data[at : at + n + LENGTH - 1]))
                 columns = list(zip(*out)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
@@ -317,14 +318,15 @@ def _repeats_by_window(rows: DataFrame, buckets: int) -> DataFrame:
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc, spans (places from, to) of the repeated bytes of `docs` (doc, base, text); overlapping spans are not joined yet."""
-    some = _anchor_hashes(docs).groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    # A table, so that the join's sides are plain exchanges, whose large parts Spark can split.
+    some = written(_anchor_hashes(docs).groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "anchors")
     rows = written(_stretch_rows(docs).join(some, "anchor"), "stretches")
     firsts = rows.groupBy("anchor", "digest").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("n").alias("n"), F.count("*").alias("m"))
     firsts = written(firsts, "firsts")
     again = rows.join(firsts.where("m > 1").select("anchor", "digest", "first"), ["anchor", "digest"])
     copies = again.where(F.struct("doc", "at") != F.col("first")).select("doc", "at", "n")
 
-    groups = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    groups = written(firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "groups")
     mixed = firsts.join(groups, "anchor").select("anchor", "first.doc", "first.at", "n", (F.col("kinds") > GROUP).alias("hot"))
     mixed = written(_with_bytes(docs, written(mixed, "mixed")), "bytes")
     ordered = _repeats_in_groups(mixed.where("NOT hot"))
