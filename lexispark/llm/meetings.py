@@ -1,9 +1,9 @@
 """Links between members of lists that are similar, found without emitting all pairs of a large list.
 
-Members of a list (a shared token or block) are candidates for each other. In lists of up to `SMALL` members pairs are
-met by a join. Larger lists would square, so their members are joined to families (components through shared large
-lists), a family is cut into blocks, and each pair of blocks is compared inside one task, which returns links that
-connect what is similar and no more than it has members. Either way every two similar members end up connected.
+Members of a list (a shared token or block) are candidates for each other. In small lists pairs are met by a join. Larger
+lists would square, so they are cut into blocks (or first put together to families, the components through shared large
+lists), and each pair of blocks is compared inside one task, which returns links that connect what is similar and no more
+than it has members. Either way every two similar members end up connected.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, written
+from .common import _arrow_schema, removed, written
 from .components import components
 
-SMALL = 32
 #: Members of a block on average.
 BLOCK = 384
 
@@ -28,25 +27,31 @@ Compare = Callable[[list[bytes], int], list[tuple[int, int]]]
 
 def connecting_links(
     lists: DataFrame, compatible: Callable[[Column, Column], Column], payload: Callable[[DataFrame], DataFrame],
-    similar: Callable[[bytes, bytes], bool], compare: Callable[[], Compare],
+    similar: Callable[[bytes, bytes], bool], compare: Callable[[], Compare], small: int, families: bool,
 ) -> DataFrame:
     """Links (a, b) that connect all members of `lists` that similarity connects.
 
     `lists`: token, member (long), need (how many lists a pair must share, the smaller of the two), info (a struct for
-    `compatible`). `payload` gives (member, data) for a table of members; `similar` and `compare` decide by data.
+    `compatible`). `payload` gives (member, data) for a table of members; `similar` and `compare` decide by data. Lists of
+    up to `small` members are joined. With `families`, members of larger lists are put together by all of these, which
+    suits members that share many lists; without, each large list is cut into blocks of its own.
     """
+    spark, used = lists.sparkSession, []
     lists = lists.select("token", "member", "need", "info")
-    sizes = written(lists.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    small = lists.join(sizes.where(F.col("size") <= SMALL).select("token"), "token")
-    pairs = written(_pairs(small, compatible), "pairs")
-    large = written(lists.join(sizes.where(F.col("size") > SMALL).select("token"), "token").select("token", "member"), "large")
+    sizes = written(lists.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "sizes", used)
+    sized = written(lists.join(sizes, "token"), "lists", used)
+    pairs = written(_pairs(sized.where(F.col("size") <= small).drop("size"), compatible), "pairs", used)
+    large = sized.where(F.col("size") > small).select("token", "member")
     ends = pairs.select(F.col("a").alias("member")).unionByName(pairs.select(F.col("b").alias("member")))
-    members = written(ends.unionByName(large.select("member")).distinct(), "members")
-    data = written(payload(members), "payload")
+    members = written(ends.unionByName(large.select("member")).distinct(), "members", used)
+    data = written(payload(members), "payload", used)
     links = _similar_pairs(pairs, data, similar)
     if large.limit(1).count():
-        links = links.unionByName(_in_blocks(_families(large), data, compare))
-    return written(links, "links")
+        groups = _families(large) if families else _own_families(large, sizes)
+        links = links.unionByName(_in_blocks(groups, data, compare))
+    found = written(links.distinct(), "links")
+    removed(spark, used)
+    return found
 
 
 def _pairs(small: DataFrame, compatible) -> DataFrame:
@@ -78,6 +83,12 @@ def _families(large: DataFrame) -> DataFrame:
     return labels.join(counts, "comp").select(F.col("node").alias("member"), F.col("comp").alias("family"), "blocks")
 
 
+def _own_families(large: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The same with each large list as a family of its own."""
+    blocks = sizes.select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    return large.join(blocks, "token").select("member", F.col("token").alias("family"), "blocks")
+
+
 def _in_blocks(families: DataFrame, data: DataFrame, compare: Callable[[], Compare]) -> DataFrame:
     """Links from comparing each pair of blocks of a family, and each block with itself, in one task each."""
     own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
