@@ -89,13 +89,15 @@ class Code:
         ends = np.cumsum(sizes)
         starts = ends - sizes
         bits = int(ends[-1]) if len(ids) else 0
-        # A word of up to 20 bits at any of 8 bit places fits into four bytes; words share no bit, so sums are unions.
-        shifted = self.codes[ids].astype(np.uint32) << (32 - sizes - (starts & 7)).astype(np.uint32)
-        first = starts >> 3
-        total = np.zeros((bits + 7) // 8 + 4, np.uint8)
-        for k in range(4):
-            part = (shifted >> np.uint32(24 - 8 * k)) & np.uint32(255)
-            total += np.bincount(first + k, weights=part, minlength=len(total)).astype(np.uint8)[: len(total)]
+        # A code word lies in one number of 32 bits or in two; words share no bit, so sums are unions, exact as floats.
+        shifted = self.codes[ids].astype(np.uint64) << (64 - sizes - (starts & 31)).astype(np.uint64)
+        first = starts >> 5
+        size = bits // 32 + 2
+        total = np.bincount(first, weights=shifted >> np.uint64(32), minlength=size)
+        rest = shifted & np.uint64(0xFFFFFFFF)
+        over = np.flatnonzero(rest)
+        total += np.bincount(first[over] + 1, weights=rest[over], minlength=size)
+        total = np.frombuffer(total.astype(">u4").tobytes(), np.uint8)[: (bits + 7) // 8 + 4]
         head = np.array([len(ids), bits], "<u8").tobytes()
         return MAGIC + head + starts[::STRIDE].astype("<u8").tobytes() + total.tobytes()
 

@@ -85,12 +85,14 @@ class Encoder:
 
     def _numbers(self, pieces: list[str], words: list[bool]) -> np.ndarray:
         """The number of each piece; those met for the first time are encoded. words: which are letters only."""
-        known = self.known
-        new = {p: w for p, w in zip(pieces, words) if p not in known}
-        self._add([(p, self._word(p)) for p, w in new.items() if w])
-        others = [p for p, w in new.items() if not w]
-        self._add([(p, e.ids) for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False))])
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            new = {p: w for p, w, n in zip(pieces, words, found) if n is None}
+            self._add([(p, self._word(p)) for p, w in new.items() if w])
+            others = [p for p, w in new.items() if not w]
+            self._add([(p, e.ids) for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False))])
+            found = [self.known[p] if n is None else n for p, n in zip(pieces, found)]
+        return np.array(found, np.int64)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
@@ -130,6 +132,7 @@ def _values(array: pa.Array) -> list:
 def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of `values` one after another, and where each ends."""
     ends = np.cumsum(lengths)
-    places = np.repeat(starts - (ends - lengths), lengths)
-    places += np.arange(len(places))
+    kind = np.int32 if len(values) < 2**31 > (ends[-1] if len(ends) else 0) else np.int64
+    places = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    places += np.arange(len(places), dtype=kind)
     return values[places], ends
