@@ -472,3 +472,14 @@ def test_ngram_join_of_awkward_rows(awkward, nothing):
     assert ngram_join.ngram_components(nothing).count() == 0
     kept = ngram_join.one_of_each(awkward)
     assert kept.columns == awkward.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 9]
+
+
+def test_blocks_give_the_same_groups(spark, monkeypatch):
+    """With every list taken for a large one, and small blocks, the groups are those of brute force as well."""
+    from lexispark.llm import meetings
+
+    monkeypatch.setattr(meetings, "BLOCK", 5)
+    for module in (ngram_join, line_dedup):
+        monkeypatch.setattr(module, "connecting_links", lambda *a, **b: meetings.connecting_links(*a, **b | {"small": 1}))
+    test_ngram_components(spark, 90, 3)
+    test_line_dedup(spark)
