@@ -424,6 +424,37 @@ def test_line_dedup(spark):
     assert got == want and len({find(n) for n in names}) < len(names)
 
 
+def test_line_dedup_finds_similar_lines_without_a_filter(spark):
+    """Next to brute force over all pairs: changed words and typos in lines of all lengths."""
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lines = []
+    for n in [2, 2, 3, 3, 4, 5, 6, 8, 10, 15, 20, 30, 45] * 12:
+        words = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(n)]
+        other = list(words)
+        other[rng.randrange(n)] = "".join(rng.choice(letters) for _ in range(rng.randrange(2, 8)))
+        typo = list(" ".join(words))
+        typo[rng.randrange(len(typo))] = rng.choice(["", "q", "qx"])
+        lines += [" ".join(words), " ".join(other), "".join(typo)]
+    names = sorted({line_dedup.normal(x) for x in lines})
+    pairs = {(a, b) for i, b in enumerate(names) for a in names[:i] if line_dedup.edit_similarity(a.decode(), b.decode()) >= line_dedup.SIMILARITY}
+    short = {p for p in pairs if min(map(len, p)) < line_dedup.SHORT}
+    keys = {n: {("b", k, x) for k, x in enumerate(b)} | {("c", x) for x in c} for n, b, c in zip(names, *line_dedup.keys_of(names)[:2])}
+    met = {p for p in pairs if keys[p[0]] & keys[p[1]]}
+    assert len(pairs) > 200 and len(short) > 40 and short <= met and len(met) >= 0.99 * len(pairs)
+    root = {n: n for n in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in met:
+        root[find(a)] = find(b)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs_of(spark, lines)).collect()}
+    assert sum(got.values()) == len(lines) - len({find(n) for n in names})
+
+
 def test_line_dedup_of_awkward_rows(awkward, nothing):
     out = line_dedup.dedup_lines(awkward)
     assert out.columns == [*awkward.columns, "n_lines", "n_removed"] and out.count() == awkward.count()
