@@ -104,3 +104,24 @@ def test_stages_on_awkward_tables(spark, awkward, nothing, corpus):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, path)
             assert out.columns == docs.columns and out.count() <= docs.count()
+
+
+def test_near_copies_with_one_changed_word_are_gone(spark, corpus, tmp_path):
+    """Documents of several lines, and copies with one changed word in one line: only the originals are packed."""
+    rng = random.Random(41)
+    rows = []
+    for i in range(30):
+        lines = [text(rng, rng.randrange(20, 40)) for _ in range(4)]
+        rows.append((i, "\n".join(lines)))
+        k = rng.randrange(4)
+        words = lines[k].split()
+        words[rng.randrange(len(words))] = "changed"
+        lines[k] = " ".join(words)
+        rows.append((100 + i, "\n".join(lines)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    path = str(tmp_path)
+    docs.write.parquet(f"{path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{corpus[0]}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    found = {r["doc_id"] for r in corpus_pipeline.run(spark, path).select("doc_id").distinct().collect()}
+    assert len(found) > 20 and all(i < 100 for i in found)
