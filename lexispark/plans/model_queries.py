@@ -43,8 +43,8 @@ def unigram_seeds(spark, d):
     return unigram.seed_pieces(marked_words(spark, d), PIECES, LONGEST)
 
 
-def subword_vocab(spark, d):
-    seeds = checkpointed(unigram.seed_pieces(marked_words(spark, d), PIECES, LONGEST))
+def subword_vocab(spark, d, size=PIECES, longest=LONGEST):
+    seeds = checkpointed(unigram.seed_pieces(marked_words(spark, d), size, longest))
     total = seeds.agg(F.sum("cnt")).scalar()
     # A vocabulary of a given small size, so one sorted window numbers it.
     place = F.row_number().over(Window.orderBy(F.col("cnt").desc(), "piece"))
@@ -77,7 +77,8 @@ def encode_score(spark, d):
 @query("q_encode_unigram")
 def encode_unigram(spark, d):
     docs = v.documents(spark, d, "doc_id", "text").select("doc_id", F.lower("text").alias("text"))
-    out = segment.encode(docs, subword_vocab(spark, d), "text", ["doc_id"], "ids")
+    vocab = subword_vocab(spark, d, unigram.SEED_SIZE, unigram.LONGEST_PIECE)
+    out = segment.encode(docs, vocab, "text", ["doc_id"], "ids")
     return out.select("doc_id", F.size("ids").alias("n_tokens"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
@@ -110,7 +111,7 @@ def bpe_pairs(spark, d):
 
 @query("q_train_unigram")
 def train_unigram(spark, d):
-    return unigram.train_unigram(marked_words(spark, d), 2000, seed_size=10_000)
+    return unigram.train_unigram(marked_words(spark, d), 2000)
 
 
 @query("q_train_bpe")

@@ -284,3 +284,17 @@ def test_svd(spark):
     long = pd.DataFrame([(i, j, dense[i, j]) for i in range(60) for j in range(30) if dense[i, j]], columns=["doc", "token", "weight"])
     ratio = decompose.explained_variance(emb, "embedding", spark.createDataFrame(long), 60).first()[0]
     assert np.isclose(ratio, np.var(dense @ axes, axis=0).sum() / np.var(dense, axis=0).sum())
+
+
+def test_unigram_queries_use_whole_seed_vocabularies(spark, tmp_path, monkeypatch):
+    """A repeated word of 13 characters, the mark included, is one piece; training keeps the operator's number of seeds."""
+    from lexispark.plans import model_queries
+
+    rows = [(i, "abcdefghijkl " * 3 + "xy", "en", "s", 41) for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    seeds = {r["piece"] for r in model_queries.subword_vocab(spark, str(tmp_path), unigram.SEED_SIZE, unigram.LONGEST_PIECE).collect()}
+    word, other = "▁abcdefghijkl", "▁xy"
+    assert seeds == {w[a:b] for w in (word, other) for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
+    assert all(r["n_tokens"] == 4 for r in model_queries.encode_unigram(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(unigram, "train_unigram", lambda words, size, **limits: (size, limits))
+    assert model_queries.train_unigram(spark, str(tmp_path)) == (2000, {})
