@@ -3,7 +3,8 @@
 Exact phrases are found as runs of whole words. A notice with errors is found in two steps: it is split into one more
 piece than the errors it may have, so that at least one piece stands unchanged in any such copy (pigeonhole); an
 automaton finds the pieces in one pass over the text, and only around a piece does the regex library test the whole
-notice with a bounded number of errors and tell its span.
+notice with a bounded number of errors and tell its span. A text with other digits than the notice's is another version,
+not a copy with errors.
 
 A text is searched whole, as its words (lower-cased A-Z, letters, digits and non-ASCII characters) with one space
 between. Null and empty texts have no words and no places; repeated rows get equal results.
@@ -71,14 +72,37 @@ class Scanner:
         found = []
         for i, spans in windows.items():
             for start, end in _joined(spans):
-                for m in self.fuzzy[i].finditer(text, start, end):
-                    found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                found += self._copies(i, text, start, end)
         kept: list[tuple[int, int, int, int]] = []
         for f in sorted(found, key=lambda f: (f[3] / (f[2] - f[1]), f[1] - f[2], f[0], f[1])):
             if all(f[2] <= k[1] or k[2] <= f[1] for k in kept):
                 kept.append(f)
         return sorted(kept, key=lambda f: (f[1], f[0]))
 
+    def _copies(self, i: int, text: str, start: int, end: int) -> list[tuple[int, int, int, int]]:
+        """Copies of notice i in text[start:end]. The best match of a stretch comes first, so those before it are looked for again."""
+        notice, _, errors = self.notices[i]
+        found, stretches = [], [(start, end)]
+        while stretches:
+            start, end = stretches.pop()
+            for m in self.fuzzy[i].finditer(text, start, end):
+                if m.start() - start >= len(notice) - errors:
+                    stretches.append((start, m.start()))
+                start = m.end()
+                if not _other_digits(notice, text, m.start(), m.end()):
+                    found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+        return found
+
+
+def _other_digits(notice: str, text: str, start: int, end: int) -> bool:
+    """Whether text[start:end], with the digits that go on after it, has digits that the notice lacks: another version."""
+    while end < len(text) and text[end].isdigit() and text[end - 1].isdigit():
+        end += 1
+    if end < len(text) and text[end - 1] == " " and text[end].isdigit() and not notice.endswith(" "):
+        end += 1
+    left = iter(c for c in notice if c.isdigit())
+    return not all(c in left for c in text[start:end] if c.isdigit())
+
 
 def pieces(notice: str, n: int) -> list[tuple[int, str]]:
     """`n` pieces of about equal length, with their places."""

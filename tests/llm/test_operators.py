@@ -301,6 +301,22 @@ def test_pieces_find_every_copy_within_the_errors():
             assert any(f[1] < 12 + len(notice) and f[2] > 10 and f[3] <= errors for f in found)
 
 
+def test_license_copies_side_by_side_and_versions():
+    scanner = licenses.Scanner(licenses.NOTICES)
+    labels = lambda t: [scanner.notices[f[0]][1] for f in scanner.spans(f" {t} ")]
+    copies = ["relezsed undor the mit license", "relezsed under the mit license", "released under the mit license"]
+    for n in range(1, 4):
+        for _ in range(2):
+            assert labels(" ".join(copies[:n])) == ["mit-notice"] * n
+            copies.reverse()
+    gpl = "licensed under the gnu general public license version"
+    assert labels(f"{gpl} 2") == labels(f"{gpl} 2 and") == ["gpl-2.0"] and labels(f"this work is {gpl} 3") == ["gpl-3.0"]
+    for version in ("3", "3 and", "1", "20", "12"):
+        assert labels(f"{gpl} {version}") == []
+    assert labels("licensed under the apache license version 1 1") == [] and labels("licensed under cc by sa 3 0") == []
+    assert labels("licensed undr cc by sa 4 0") == ["cc-by-sa-4.0"]
+
+
 PAGE = """<html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body><header><a href="/">Home</a> Site</header>
 <nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav><div class="cookie-notice">We use cookies, yes.</div>
 <div id="wrap"><div class="content"><h1>A   title &amp; more</h1><p>First paragraph, with some words, and commas, and enough text to count.
