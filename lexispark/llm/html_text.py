@@ -2,10 +2,11 @@
 
 A page becomes a tree of elements. Every text block gives points for its length and its commas to its parent, half of
 them to its grandparent and a third to the next one. A container's points are discounted by its link density. The
-container with the most points is kept, together with those siblings that score alike or are plain text paragraphs.
+container with the most points is kept, together with those siblings that score alike or are plain text paragraphs, and what stands between them and is not links.
 
 Elements that are never part of an article (scripts, menus, forms, adverts, comments, hidden parts) are left out before
-scoring, by their name, role or class. Null and empty pages have no text. Broken markup (open elements at the end, end
+scoring, by their name, role or class. A class or id alone does not take out what holds an <article> or <main>, or more than
+half of the page's text (if not beside an article), unless it names comments; nor a header inside the article. Null and empty pages have no text. Broken markup (open elements at the end, end
 tags without a start, cut tags) never fails: what is open is closed. Repeated rows get equal texts.
 """
 
@@ -32,11 +33,15 @@ BLOCKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article blockquote body center dd details div dl fieldset html li main ol section table td ul".split())
 ENDS_P = BLOCKS - {"body", "html"}
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?|disqus|footer|header|masthead|menu|modal|"
-    r"nav(?:bar|igation)?|newsletter|notice|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?=$|[\s_-])",
-    re.I,
+_WORD = (
+    "ads?|advert(?:s|isement|ising)?|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|masthead|menu|modal|"
+    "nav(?:bar|igation)?|newsletter|notice|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget"
 )
+_PLACE = "site|page|global|main|primary|secondary|top|bottom|left|right|area|bar|block|box|container|inner|items?|links?|list|posts|section|wrap(?:per)?|buttons?|icons?|[0-9]+"
+#: Whole names of a class or id: words of the list, alone or with others that only say where or how.
+NOISE = re.compile(rf"(?:^|\s)(?:(?:{_PLACE})[_-]+)*(?:{_WORD})(?:[_-]+(?:{_WORD}|{_PLACE}))*(?=\s|$)", re.I)
+#: What readers wrote is not the article, however long.
+REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond)(?=$|[\s_-])", re.I)
 NOISE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
@@ -45,12 +50,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "points", "skipped")
+    __slots__ = ("name", "parent", "parts", "points", "skipped", "doubtful")
 
     def __init__(self, name: str, parent: Node | None, skipped: bool = False) -> None:
         self.name, self.parent, self.skipped = name, parent, skipped
         self.parts: list[Node | str] = []
         self.points = 0.0
+        self.doubtful = False
 
 
 def is_noise(name: str, attributes: str) -> bool:
@@ -62,11 +68,38 @@ def is_noise(name: str, attributes: str) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key == "role" and value.lower() in NOISE_ROLES or key in ("class", "id") and NOISE.search(value):
+        if key == "role" and value.lower() in NOISE_ROLES or key in ("class", "id") and REPLIES.search(value) and NOISE.search(value):
             return True
     return False
 
 
+def is_doubtful(name: str, attributes: str) -> bool:
+    """Noise by a class or id, unless the content speaks against it."""
+    if not attributes or name in ("html", "body", "article", "main"):
+        return False
+    return any(m[1].lower() in ("class", "id") and NOISE.search(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes))
+
+
+def settle(root: Node) -> None:
+    """Skip the doubtful elements, with all that is in them, but not those that hold an article, nor those that hold more than
+    half of the text and do not stand beside an article."""
+    order = [root]
+    for node in order:
+        order += [p for p in node.parts if isinstance(p, Node) and not p.skipped]
+    chars: dict[int, int] = {}
+    articles: set[int] = set()
+    for node in reversed(order):
+        chars[id(node)] = sum(len(p.strip()) if isinstance(p, str) else chars.get(id(p), 0) for p in node.parts)
+        if node.name in ("article", "main") or any(id(p) in articles for p in node.parts):
+            articles.add(id(node))
+    for node in order:
+        if node.parent is not None and node.parent.skipped:
+            node.skipped = True
+        elif node.doubtful and id(node) not in articles:
+            beside = id(root) in articles and not _in_article(node)
+            node.skipped = beside or 2 * chars[id(node)] <= chars[id(root)]
+
+
 def parse(page: str) -> Node:
     """The tree of a page. A page header outside the article is noise; inside an article it is kept."""
     root = at = Node("html", None)
@@ -99,12 +132,14 @@ def parse(page: str) -> Node:
         if name in ("li", "dd", "dt", "td", "th", "tr", "option") and at.name == name and at.parent is not None:
             at = at.parent
         node = Node(name, at, at.skipped or is_noise(name, attributes or "") or name == "header" and not _in_article(at))
+        node.doubtful = not node.skipped and is_doubtful(name, attributes or "") and not (_in_article(at) and re.search("header", attributes, re.I))
         at.parts.append(node)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>?", re.I).search(page, pos)
             pos = close.end() if close else end
         elif name not in VOID and not (attributes or "").rstrip().endswith("/"):
             at = node
+    settle(root)
     return root
 
 
@@ -207,6 +242,13 @@ def main_text(page: str | None) -> str:
             heading = part.name == "h1" and total > 0 and linked == 0 and best.name not in ("article", "main")
             if plain or heading or part.name in CONTAINERS and worth(part) >= least and linked < 0.5 * total:
                 kept.add(id(part))
+    # Headings, short paragraphs, lists and the like between two kept siblings belong to the text.
+    beside = [p for p in best.parent.parts if isinstance(p, Node)] if len(kept) > 1 else []
+    places = [i for i, p in enumerate(beside) if id(p) in kept]
+    for part in beside[places[0] : places[-1]] if places else ():
+        total, linked = chars.get(id(part), (0, 0))
+        if not part.skipped and total and 2 * linked < total:
+            kept.add(id(part))
     lines = []
     for owner, text, _ in found:
         node = owner

@@ -334,6 +334,26 @@ def test_main_text():
     assert html_text.main_text("<article><p>x<p>y</article") == "x\ny"
 
 
+def test_main_text_under_wrapper_classes():
+    body = "A paragraph with some words, and commas, and enough text to count as part of the page."
+    for names in ("layout has-sidebar", "no-sidebar", "with-sidebar", "elementor-widget", "share", "sidebar"):
+        page = f'<body><div class="{names}"><div><p>{body}<p>{body} Again, and more, of it.</div></div><div class="footer">Imprint, and so on, of this page.</div></body>'
+        assert html_text.main_text(page) == f"{body}\n{body} Again, and more, of it.", names
+    for names in ("entry-header", "post-header", "header"):
+        assert html_text.main_text(f'<article><div class="{names}"><h1>Title</h1></div><p>{body}</article>') == f"Title\n{body}"
+    for names in ("sidebar", "site-footer", "cookie-notice", "comment-list", "main_nav", "x related", "widget-area"):
+        page = f'<div><p>{body}<p>{body}</div><div class="{names}"><p>Other text, that is no part of it, but long enough.</div>'
+        assert html_text.main_text(page) == f"{body}\n{body}", names
+    comments = f'<div><p>{body}</div><div id="comments"><p>{body} One.<p>{body} Two.<p>{body} Three.</div>'
+    assert html_text.main_text(comments) == body
+
+
+def test_main_text_between_kept_siblings():
+    long = "A paragraph with some words, and commas, and enough text, to count, as part, of the page, " * 4
+    page = f"<body><div><p>{long}<p>{long}</div><h2>Next</h2><p>Short.</p><ul><li>one<li>two</ul><table><tr><td>cell</table><div><p>{long}</div><ul><li><a href=x>link</a></ul></body>"
+    assert html_text.main_text(page) == "\n".join([long.strip(), long.strip(), "Next", "Short.", "one", "two", "cell", long.strip()])
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, 2), (None, "v", "<div>" * 3000 + "deep text", 3)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
