@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, fingerprint, html_text, huffman, licenses, line_dedup, ngram_join, packing, suffix_dedup, toxicity
-from .common import table
+from . import (
+    chat_format, cross_tokens, decontaminate, fingerprint, html_text, huffman, licenses, line_dedup, ngram_join, packing, periodic_runs, suffix_dedup,
+    toxicity,
+)
+from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +136,22 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.cross_tokenizer_alignment(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents, a tenth of which are made periodic first."""
+    docs = periodic_runs.with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
+
+
+@query
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all conversations and one of control strings as marked text, and read them back."""
+    parts = chat_format.format_turns(chat_format.with_probe(table(spark, sf_dir, "conversations")))
+    return chat_format.conversation_digests(chat_format.read_turns(written(parts, "chat")))
