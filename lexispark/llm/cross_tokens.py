@@ -31,10 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, _slices, utf8, written
-from .tokens import _ODD, MEMORY, Encoder, _gather, _values, default_tokenizer
+from .tokens import _ODD, Encoder, _gather, _values, default_tokenizer
 
 #: Text taken at once; a longer text is one piece.
 SLICE_BYTES = 2 << 20
+#: Stretches whose ids a task keeps for each tokenizer; beyond that it starts anew.
+KNOWN = 300_000
 
 
 def default_pieces() -> str:
@@ -48,6 +50,8 @@ class SpacedEncoder(Encoder):
 
     def spaced(self, texts: pa.Array, odd: np.ndarray) -> list[np.ndarray]:
         """`odd` marks texts that must be encoded whole."""
+        if len(self.known) > KNOWN:
+            self._forget()
         both = pc.binary_join_element_wise(" ", texts, "")
         plain, whole = both.filter(pa.array(~odd)), both.filter(pa.array(odd))
         found = {False: iter(self._plain(plain) if len(plain) else []), True: iter(self.whole(whole.to_pylist()) if len(whole) else [])}
@@ -116,7 +120,7 @@ class PieceEncoder:
         return [next(found[o]) for o in odd.tolist()]
 
     def _plain(self, texts: pa.Array) -> list[np.ndarray]:
-        if len(self.known) > MEMORY:
+        if len(self.known) > KNOWN:
             self._forget()
         cut = pc.replace_substring(pc.replace_substring(texts, " ", "\x00"), "\n", "\x00\n")
         lists = pc.split_pattern(cut, "\x00")
@@ -302,12 +306,12 @@ class Aligner:
         return text, ends[b_place[at_b]]
 
 
-ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups string, links array<long>"
-
-
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups (`a1,a2|b1;a3|b2,b3`) and links (see `Alignment.links`) of each row of `docs`."""
-    arrow = _arrow_schema(docs.sparkSession, ALIGNED)
+    one = Aligner(a_path, b_path)
+    number = "int" if len(one.a_bytes.lengths) * one.b_size < 2**31 else "long"
+    schema = f"doc_id long, n_a long, n_b long, n_groups long, groups string, links array<{number}>"
+    arrow = _arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(a_path, b_path)
@@ -318,27 +322,17 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None)
                 columns = [
                     part.column(0), pa.array([len(f.a) for f in found], pa.int64()), pa.array([len(f.b) for f in found], pa.int64()),
                     pa.array([len(f.a_cuts) for f in found], pa.int64()), pa.array([f.groups for f in found], pa.string()),
-                    pa.array(links, pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(np.cumsum([0, *map(len, links)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *links])),
                 ]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ALIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
-    """link, n: how many links of all documents hold each pair of ids. Every task sends each pair once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            new, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
-            both, place = np.unique(np.concatenate([links, new]), return_inverse=True)
-            total = np.zeros(len(both), np.int64)
-            np.add.at(total, place, np.concatenate([counts, n]))
-            links, counts = both, total
-        yield pa.RecordBatch.from_arrays([pa.array(links), pa.array(counts)], names=["link", "n"])
-
-    return aligned.select("links").mapInArrow(run, "link long, n long").groupBy("link").agg(F.sum("n").alias("n"))
+    """link, n: how many links of all documents hold each pair of ids. A task sends each pair once."""
+    links = aligned.select(F.explode("links").alias("link"))
+    return links.groupBy(F.col("link").cast("long").alias("link")).agg(F.count("*").alias("n"))
 
 
 def with_pair_counts(aligned: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
@@ -365,17 +359,18 @@ def with_pair_counts(aligned: DataFrame, a_path: str | None = None, b_path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links, n, best = shared.value
         for batch in batches:
-            lists = batch.column(len(kept))
-            ends = np.asarray(lists.offsets).astype(np.int64)
-            ends -= ends[0]
-            place = np.searchsorted(links, lists.flatten().to_numpy())
-            sums = np.zeros((2, len(place) + 1), np.int64)
-            if len(place):
-                np.cumsum(best[place], out=sums[0, 1:])
-                np.cumsum(n[place], out=sums[1, 1:])
-            n_best, total = (s[ends[1:]] - s[ends[:-1]] for s in sums)
-            columns = [*(batch.column(i) for i in range(len(kept))), pa.array(np.diff(ends)), pa.array(n_best), pa.array(total)]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            for part in _slices(batch, SLICE_BYTES):
+                lists = part.column(len(kept))
+                ends = np.asarray(lists.offsets).astype(np.int64)
+                ends -= ends[0]
+                place = np.searchsorted(links, lists.flatten().to_numpy())
+                sums = np.zeros((2, len(place) + 1), np.int64)
+                if len(place):
+                    np.cumsum(best[place], out=sums[0, 1:])
+                    np.cumsum(n[place], out=sums[1, 1:])
+                n_best, total = (s[ends[1:]] - s[ends[:-1]] for s in sums)
+                columns = [*(part.column(i) for i in range(len(kept))), pa.array(np.diff(ends)), pa.array(n_best), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return aligned.select(*kept, "links").mapInArrow(run, schema)
 
