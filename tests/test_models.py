@@ -149,6 +149,44 @@ def test_bpe_equals_one_pair_per_round(spark):
     assert [r["piece"] for r in table.orderBy("piece_id").limit(3).collect()] == ["<unk>", "<s>", "</s>"]
 
 
+@pytest.mark.parametrize("share", [0.02, 1.1])
+def test_bpe_by_index_equals_one_pair_per_round(spark, monkeypatch, share):
+    """The index is written at once, and again and again as words are touched; the joins stay the same."""
+    monkeypatch.setattr(bpe, "LOOK_AFTER", 2)
+    monkeypatch.setattr(bpe, "RECENT_SHARE", share / 4)
+    built = []
+    plain = bpe.Words.build_index
+
+    def build(self, part):
+        before = self.index
+        plain(self, part)
+        built.append(self.index is not before)
+
+    monkeypatch.setattr(bpe.Words, "build_index", build)
+    rng = random.Random(7)
+    words = {}
+    for _ in range(500):
+        w = "".join(rng.choice("aabbcdefgh") for _ in range(rng.randint(1, 9)))
+        words[w] = words.get(w, 0) + rng.randint(1, 50)
+    df = spark.createDataFrame(list(words.items()), "word string, cnt long")
+    _, merges = bpe.train_bpe(df, 3 + 8 + 60, coverage=1.0, index_below=1.1)
+    assert merges == naive_bpe(words.items(), len(merges)) and len(merges) >= 60
+    assert sum(built) > (1 if share < 1 else 0)
+
+
+def test_a_round_by_index_reads_only_words_that_hold_its_pairs(spark):
+    words = {f"{a}{b}{c}": 1 for a in "abcdefgh" for b in "klmnopqr" for c in "stuvwxyz"}
+    state = bpe.Words(spark.createDataFrame(list(words.items()), "word string, cnt long"), 1.1)
+    state.build_index(0.0)
+    assert state.recent.count() == 0
+    change = {(r["left"], r["right"]): r["n"] for r in state.join([("a", "k")]).groupBy("left", "right").agg(F.sum("n").alias("n")).collect() if r["n"]}
+    assert state.recent.count() == 8
+    assert change == {("a", "k"): -8} | {("k", c): -1 for c in "stuvwxyz"} | {("ak", c): 1 for c in "stuvwxyz"}
+    state.join([("ak", "s"), ("b", "l")]).count()
+    assert state.recent.count() == 16
+    assert {r["symbols"] for r in state._all().collect()} >= {"aks", "ak t", "bl s", "c k s"} and state._all().count() == 512
+
+
 def test_join_pairs_overlap(spark):
     df = spark.createDataFrame([("a a a a b . c",), ("a a a",), ("xa a",)], "s string")
     got = [r[0] for r in df.select(bpe.join_pairs(F.col("s"), [("a", "a"), (".", "c")])).collect()]
