@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_below, draw_key
+from ..session import checkpointed
 
 # 65,536 ranges of a uniform md5 key; a bucket table of this size is always safe to broadcast.
 DRAW_BUCKET_DIGITS = 4
@@ -135,6 +136,25 @@ def top_n(df: DataFrame, n: int, value: str, tie: str) -> DataFrame:
     return whole.unionByName(partial).drop("_n", "_upto", "_need")
 
 
+def largest_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
+    """The first n rows in `order`, which should end with a key, for large n.
+
+    Rows are sorted into ranges once; the sizes of the ranges tell which one is cut, and only that one is sorted and limited.
+    Hand in a table that is written: ranges are drawn from a sample of it.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = checkpointed(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    whole, left = -1, n
+    for at in sorted(sizes):
+        if sizes[at] > left:
+            part = ranged.where(F.col("_range") == at).orderBy(*order).limit(left)
+            return ranged.where(F.col("_range") <= whole).unionByName(part).drop("_range")
+        whole, left = at, left - sizes[at]
+    return ranged.drop("_range")
+
+
 def start_lines(docs: DataFrame, bucket_width: int = 100_000) -> DataFrame:
     """1-based line where each document begins: every document takes its lines and a blank one."""
     placed = running_total(

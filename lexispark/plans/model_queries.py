@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import explode_rows
@@ -11,14 +10,14 @@ from ..operators import bpe, clustering, decompose, segment, unigram
 from ..operators import vectorize as vz
 from ..operators import vocab_merge as vm
 from ..operators.counting import token_counts
+from ..operators.ordering import dense_index
 from ..operators.vocab_stats import fertility
 from ..session import checkpointed, fan_out
 from ..sources.vocab import vocab_from_pairs, with_specials
 from . import views as v
 from .registry import query
 
-PIECES = 2000
-LONGEST = 8
+PIECES, LONGEST = unigram.SEED_SIZE, unigram.LONGEST_PIECE
 
 
 def marked_words(spark, d):
@@ -46,9 +45,8 @@ def unigram_seeds(spark, d):
 def subword_vocab(spark, d, size=PIECES, longest=LONGEST):
     seeds = checkpointed(unigram.seed_pieces(marked_words(spark, d), size, longest))
     total = seeds.agg(F.sum("cnt")).scalar()
-    # A vocabulary of a given small size, so one sorted window numbers it.
-    place = F.row_number().over(Window.orderBy(F.col("cnt").desc(), "piece"))
-    return checkpointed(seeds.select(place.alias("piece_id"), "piece", F.ln(F.col("cnt") / total).alias("score")))
+    ranked = dense_index(seeds.withColumn("_n", -F.col("cnt")), ["_n", "piece"], F.floor(-8 * F.ln("cnt")), name="_place")
+    return checkpointed(ranked.select((F.col("_place") + 1).cast("int").alias("piece_id"), "piece", F.ln(F.col("cnt") / total).alias("score")))
 
 
 # Best score per position of each word, position after position: bests[i] is the best score of the first i - 1 characters.

@@ -8,8 +8,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.operators import bpe, decompose, segment, unigram
+from lexispark.operators import bpe, decompose, lattice, segment, unigram
 from lexispark.operators import vocab_merge as vm
+from lexispark.operators.ordering import largest_n
+from lexispark.session import checkpointed
 
 
 def all_splits(word):
@@ -169,8 +171,8 @@ def test_bpe_by_index_equals_one_pair_per_round(spark, monkeypatch, share):
         w = "".join(rng.choice("aabbcdefgh") for _ in range(rng.randint(1, 9)))
         words[w] = words.get(w, 0) + rng.randint(1, 50)
     df = spark.createDataFrame(list(words.items()), "word string, cnt long")
-    _, merges = bpe.train_bpe(df, 3 + 8 + 60, coverage=1.0, index_below=1.1)
-    assert merges == naive_bpe(words.items(), len(merges)) and len(merges) >= 60
+    _, merges = bpe.train_bpe(df, 3 + 8 + 24, coverage=1.0, index_below=1.1)
+    assert merges == naive_bpe(words.items(), len(merges)) and len(merges) >= 24
     assert sum(built) > (1 if share < 1 else 0)
 
 
@@ -193,6 +195,116 @@ def test_join_pairs_overlap(spark):
     assert got == ["aa aa b .c", "aa a", "xa a"]
 
 
+def test_blocks_next_to_single_words():
+    """Best paths and piece numbers of words side by side, in two slots, equal those of each word alone."""
+    rng = random.Random(11)
+    for _ in range(30):
+        words = ["".join(rng.choice("abcz") for _ in range(rng.randint(0, 12))) for _ in range(20)]
+        models = [{w: -float(rng.randint(1, 9)) for w in {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(15)}} for _ in range(2)]
+        index = {p: i for i, p in enumerate({**models[0], **models[1]})}
+        score = np.array([[m.get(p, -math.inf) for m in models] for p in index])
+        block = lattice.block_of(words, index, score, 4)
+        block.set_unknown(np.array([-20.0, -25.0]))
+        best, count, last = block.best()
+        edges = block.path_edges(last)
+        for w, word in enumerate(words):
+            for g, m in enumerate(models):
+                value, parts = segment.best_split(word, m, 4, (-20.0, -25.0)[g])
+                assert math.isclose(best[w, g], value) and count[w, g] == len(parts)
+            own = [(block.start[e], block.end[e]) for e in edges[block.word[edges] == w]]
+            assert sorted(own) == sorted(zip([0, *sorted(e for _, e in own)], sorted(e for _, e in own)))
+            assert math.isclose(sum(models[0].get(word[a:b], -20.0) for a, b in own), best[w, 0])
+
+
+def plain_step(words, scores, scale):
+    unknown, longest = min(scores.values()) - 10, max(map(len, scores))
+    freq, likelihood = {}, 0.0
+    for w, c in words.items():
+        splits = [s for s in all_splits(w)]
+        logs = np.array([split_score(s, scores, unknown) for s in splits])
+        total = np.logaddexp.reduce(logs)
+        likelihood += c * total
+        for s, x in zip(splits, np.exp(logs - total)):
+            for p in s:
+                if p in scores:
+                    freq[p] = freq.get(p, 0.0) + c * x
+    freq = {p: max(f, 1e-3) for p, f in freq.items() if f >= 0.5 or len(p) == 1}
+    mass = sum(freq.values())
+    return {p: scale(f) - scale(mass) for p, f in freq.items()}, likelihood
+
+
+def plain_digamma(x):
+    return math.log(x + 50) - 1 / (2 * (x + 50)) - 1 / (12 * (x + 50) ** 2) - sum(1 / (x + i) for i in range(50))
+
+
+def toy(spark):
+    words = {w: n for n, w in enumerate(["abab", "aba", "babz", "abba", "cab", "zz", "a", "abababab"], 3)}
+    df = spark.createDataFrame([(w, n, None) for w, n in words.items()], "word string, cnt long, own long")
+    scores = {p: -1.0 - i / 3 for i, p in enumerate(["a", "b", "c", "ab", "ba", "aba", "bab", "abab", "cab"])}
+    pieces = spark.createDataFrame([(i * 7, p, s) for i, (p, s) in enumerate(scores.items())], "pid long, piece string, score double")
+    return words, df, scores, pieces
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_steps_equal_plain_expectation_maximisation(spark, monkeypatch, sparse):
+    monkeypatch.setattr(lattice, "BLOCK", 3)
+    words, df, scores, pieces = toy(spark)
+    table = lattice.lattices(df, pieces.select("pid", "piece"), 4)
+    for _ in range(2):
+        scores, want = plain_step(words, scores, plain_digamma if sparse else math.log)
+        pieces, got = unigram.em_step(table, pieces, sparse)
+        assert math.isclose(got, want, rel_tol=1e-9)
+        assert {r["piece"]: r["score"] for r in pieces.collect()} == pytest.approx(scores, rel=1e-7)
+
+
+def test_likelihood_rises(spark):
+    """Where nothing is unknown or dropped; the first scores are no distribution."""
+    words = [(w, 1000 + n, None) for n, w in enumerate(["abab", "aba", "bab", "abba", "cab", "a", "abababab"])]
+    table = spark.createDataFrame(words, "word string, cnt long, own long")
+    _, _, _, pieces = toy(spark)
+    table = lattice.lattices(table, pieces.select("pid", "piece"), 4)
+    seen = []
+    for _ in range(4):
+        pieces, likelihood = unigram.em_step(table, pieces, sparse=False)
+        seen.append(likelihood)
+    assert seen[1] < seen[2] < seen[3]
+
+
+def test_losses_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "BLOCK", 3)
+    words, df, scores, pieces = toy(spark)
+    unknown = min(scores.values()) - 10
+    numbers = pieces.select("pid", "piece")
+    several = pieces.where(F.length("piece") > 1).select(F.col("piece").alias("word"), F.lit(1.0).alias("cnt"), F.col("pid").alias("own"))
+    got = unigram.prune_losses(lattice.lattices(df, numbers, 4), lattice.lattices(several, numbers, 4), pieces)
+    freq = dict.fromkeys(scores, 0.0)
+    for w, c in words.items():
+        for p in segment.best_split(w, scores, 4, unknown)[1]:
+            if p is not None:
+                freq[p] += c
+    total = sum(freq.values())
+    for r in got.collect():
+        piece, f = r["piece"], freq[r["piece"]]
+        if len(piece) == 1:
+            assert r["loss"] == math.inf
+            continue
+        other, parts = segment.best_split(piece, {p: s for p, s in scores.items() if p != piece}, 4, unknown)
+        if other > scores[piece] or not f:
+            assert r["loss"] == -math.inf
+        else:
+            without = sum(math.log(freq[p] + f) for p in parts) - len(parts) * math.log(total + f * (len(parts) - 1))
+            assert math.isclose(r["loss"], f / total * (math.log(f) - math.log(total) - without), rel_tol=1e-9)
+
+
+def test_largest_rows(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([1.0, 2.0, 2.0, -math.inf, math.inf]), f"k{i:04}") for i in range(500)]
+    df = checkpointed(spark.createDataFrame(rows, "v double, k string"))
+    for n in (0, 1, 77, 300, 500, 900):
+        got = sorted(map(tuple, largest_n(df, n, [F.col("v").desc(), F.col("k")]).collect()))
+        assert got == sorted(sorted(rows, key=lambda r: (-r[0], r[1]))[:n])
+
+
 def test_unigram_training(spark):
     words = {f"▁{stem}{end}": 20 + i for i, stem in enumerate(["walk", "talk", "jump", "play"]) for end in ("", "ing", "ed", "s")}
     df = spark.createDataFrame(list(words.items()), "word string, cnt long")
