@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_below, draw_key
-from ..session import checkpointed
+from ..session import stored
 
 # 65,536 ranges of a uniform md5 key; a bucket table of this size is always safe to broadcast.
 DRAW_BUCKET_DIGITS = 4
@@ -140,11 +140,11 @@ def largest_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     """The first n rows in `order`, which should end with a key, for large n.
 
     Rows are sorted into ranges once; the sizes of the ranges tell which one is cut, and only that one is sorted and limited.
-    Hand in a table that is written: ranges are drawn from a sample of it.
+    `df` is read twice, as ranges are drawn from a sample: hand in one that is cheap to read.
     """
     spark = df.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = checkpointed(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    ranged = stored(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
     whole, left = -1, n
     for at in sorted(sizes):

@@ -5,23 +5,20 @@ A set of vocabularies is one table (tokenizer, tok_ord, piece_id, piece, score,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text, space_words
-from ..session import checkpointed, fan_out
+from ..session import checkpointed, fan_out, stored
+from .lattice import Block, Lattices, block_of, lattices
 from .ordering import dense_index, exact_sample
 from .segment import UNKNOWN_PENALTY, distinct_words
 
-# Scores of all candidates are one matrix in each task: at most this many numbers (400 MB).
-MAX_CANDIDATE_SCORES = 50_000_000
-
-
 def merged_scores(vocabs: DataFrame, by: Sequence[str] = (), log_scores: bool = True) -> DataFrame:
     """by, piece, score, first_ord, first_id for the union of the ordinary pieces.
 
@@ -109,68 +106,46 @@ def _piece_numbers(word: str, index: dict[str, int], scores: np.ndarray, longest
 
     scores[i] holds the score of piece i per candidate, -inf where the candidate lacks it.
     """
-    n, g = len(word), scores.shape[1]
-    best = np.full((n + 1, g), -np.inf)
-    count = np.zeros((n + 1, g), dtype=np.int64)
-    open_unknown = np.zeros((n + 1, g), dtype=bool)
-    best[0] = 0.0
-    for end in range(1, n + 1):
-        for start in range(max(0, end - longest), end):
-            at = index.get(word[start:end])
-            if at is None and end - start > 1:
-                continue
-            row = np.full(g, -np.inf) if at is None else scores[at]
-            missing = np.zeros(g, dtype=bool)
-            if end - start == 1:
-                missing = np.isneginf(row)
-                row = np.where(missing, unknown, row)
-            total = best[start] + row
-            better = total > best[end]
-            if better.any():
-                best[end] = np.where(better, total, best[end])
-                step = count[start] + ~(missing & open_unknown[start])
-                count[end] = np.where(better, step, count[end])
-                open_unknown[end] = np.where(better, missing, open_unknown[end])
-    return count[n]
-
-
-def mean_sentence_length(words: DataFrame, line_counts: DataFrame, candidates: DataFrame) -> DataFrame:
+    block = block_of([word], index, scores, longest)
+    block.set_unknown(unknown)
+    return block.best()[1][0]
+
+
+def word_lattices(words: DataFrame, pieces: DataFrame) -> tuple[Lattices, DataFrame]:
+    """Where the pieces (a column `piece`, repeated or not) stand in the distinct words; and the numbers of the pieces."""
+    numbers = stored(pieces.select("piece").distinct().withColumn("pid", F.monotonically_increasing_id()), "numbers")
+    longest = numbers.agg(F.coalesce(F.max(F.length("piece")), F.lit(1)).alias("n")).first()["n"]
+    items = words.select("word", F.lit(1.0).alias("cnt"), F.lit(None).cast("long").alias("own"))
+    return lattices(items, numbers, longest), numbers
+
+
+def mean_sentence_length(
+    words: DataFrame, line_counts: DataFrame, candidates: DataFrame, prepared: tuple[Lattices, DataFrame] | None = None
+) -> DataFrame:
     """cand, metric: mean tokens per line of each source, averaged over sources.
 
-    `candidates` has (cand, piece, score). All candidates are scored in one pass over the distinct
-    words: pieces never cross words, so lines need not be read again.
+    `candidates` has (cand, piece, score). Each piece gets an array with its score in every candidate, and each distinct word is
+    split once for all of them: pieces never cross words, so lines need not be read again. The driver knows the candidates'
+    names and lowest scores only. `prepared` is what `word_lattices` makes of the words and all pieces that candidates may have.
     """
-    table = candidates.toPandas()
-    names = sorted(table["cand"].unique())
-    pieces = sorted(table["piece"].unique())
-    if len(names) * len(pieces) > MAX_CANDIDATE_SCORES:
-        half = len(names) // 2
-        if not half:
-            raise ValueError("a single candidate vocabulary is too large")
-        # Too many for one pass: the candidates are independent, so two passes give the same answer.
-        return mean_sentence_length(words, line_counts, candidates.where(F.col("cand").isin(names[:half]))).unionByName(
-            mean_sentence_length(words, line_counts, candidates.where(F.col("cand").isin(names[half:])))
-        )
-    index = {p: i for i, p in enumerate(pieces)}
-    column = {c: j for j, c in enumerate(names)}
-    scores = np.full((len(pieces), len(names)), -np.inf)
-    scores[table["piece"].map(index), table["cand"].map(column)] = table["score"]
-    unknown = np.where(np.isneginf(scores), np.inf, scores).min(axis=0) - UNKNOWN_PENALTY
-    shared = words.sparkSession.sparkContext.broadcast((index, scores, unknown, max(map(len, pieces))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, scores, unknown, longest = shared.value
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for word, uses in zip(batch["word"], batch["uses"]):
-                n = _piece_numbers(word, index, scores, longest, unknown)
-                for use in uses:
-                    sums[use["src"]] = sums.get(use["src"], 0) + n * use["cnt"]
-        for src, per_candidate in sums.items():
-            yield pd.DataFrame({"src": src, "cand": names, "n_tokens": per_candidate})
-
-    totals = words.mapInPandas(run, "src string, cand int, n_tokens long").groupBy("src", "cand").agg(F.sum("n_tokens").alias("n_tokens"))
-    means = totals.join(line_counts, "src").withColumn("_mean", F.col("n_tokens") / F.col("n_lines"))
+    table, numbers = prepared or word_lattices(words, candidates)
+    low = {r["cand"]: r["low"] for r in candidates.groupBy("cand").agg(F.min("score").alias("low")).collect()}
+    names = sorted(low)
+    unknown = np.array([low[c] for c in names]) - UNKNOWN_PENALTY
+    by_candidate = F.map_from_entries(F.collect_list(F.struct("cand", "score")))
+    scores = candidates.groupBy("piece").agg(by_candidate.alias("_s")).join(numbers, "piece")
+    scores = scores.select("pid", F.array(*[F.element_at("_s", F.lit(c)) for c in names]).alias("score"))
+
+    def work(block: Block) -> dict[str, list]:
+        block.set_unknown(unknown)
+        return {"word": block.names.to_pylist(), "n": block.best()[1].tolist()}
+
+    numbers_of_pieces = table.solved(scores, len(names), "word string, n array<long>", work)
+    uses = words.select("word", F.explode("uses").alias("use")).join(numbers_of_pieces, "word")
+    sums = [F.sum(F.col("n")[j] * F.col("use.cnt")).alias(f"c{j}") for j in range(len(names))]
+    totals = uses.groupBy("use.src").agg(*sums).join(line_counts, "src")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("cand"), (F.col(f"c{j}") / F.col("n_lines")).alias("_mean")) for j, c in enumerate(names)]))
+    means = totals.select("src", each.alias("m")).select("src", "m.*")
     return means.groupBy("cand").agg(F.avg("_mean").alias("metric"))
 
 
@@ -240,14 +215,22 @@ def greedy_merge(
         words, counts = corpus_words(drawn, source, text)
         return checkpointed(fan_out(words)), checkpointed(counts)
 
+    # Every piece of every vocabulary may come up, so where they stand in the words is found once for all rounds.
+    every = vocabs.where(F.col("type") == "NORMAL").select("piece")
+
+    def prepared(words: DataFrame) -> Metric:
+        return partial(metric, prepared=word_lattices(words, every)) if metric is mean_sentence_length else metric
+
     words, line_counts = data(0)
+    measure = prepared(words)
     size = current().count()
     rounds: list[tuple[str, float, int]] = []
     ordered = vocabs.withColumn("tok_ord", _group_order(groups))
     while size < target and any(pointers[g] + 1 < n for g, n in groups):
         if sample_lines and rounds:
             words, line_counts = data(len(rounds))
-        best = best_candidate(evaluate_candidates(ordered, groups, pointers, words, line_counts, metric)).first()
+            measure = prepared(words)
+        best = best_candidate(evaluate_candidates(ordered, groups, pointers, words, line_counts, measure)).first()
         pointers[best["grp"]] += 1
         size = best["size"]
         rounds.append((best["grp"], best["metric"], size))

@@ -60,6 +60,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back: like `checkpointed`, but computed once and read by columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fan_out(df: DataFrame) -> DataFrame:
     """Spread a table that is small in bytes but costly to process.
 

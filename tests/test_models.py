@@ -252,9 +252,10 @@ def test_steps_equal_plain_expectation_maximisation(spark, monkeypatch, sparse):
     table = lattice.lattices(df, pieces.select("pid", "piece"), 4)
     for _ in range(2):
         scores, want = plain_step(words, scores, plain_digamma if sparse else math.log)
-        pieces, got = unigram.em_step(table, pieces, sparse)
+        pieces, got, low = unigram.em_step(table, pieces, sparse)
         assert math.isclose(got, want, rel_tol=1e-9)
         assert {r["piece"]: r["score"] for r in pieces.collect()} == pytest.approx(scores, rel=1e-7)
+        assert low == pytest.approx(min(scores.values()), rel=1e-7)
 
 
 def test_likelihood_rises(spark):
@@ -265,7 +266,7 @@ def test_likelihood_rises(spark):
     table = lattice.lattices(table, pieces.select("pid", "piece"), 4)
     seen = []
     for _ in range(4):
-        pieces, likelihood = unigram.em_step(table, pieces, sparse=False)
+        pieces, likelihood, _ = unigram.em_step(table, pieces, sparse=False)
         seen.append(likelihood)
     assert seen[1] < seen[2] < seen[3]
 
