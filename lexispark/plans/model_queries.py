@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import explode_rows
@@ -12,7 +15,7 @@ from ..operators import vocab_merge as vm
 from ..operators.counting import token_counts
 from ..operators.ordering import dense_index
 from ..operators.vocab_stats import fertility
-from ..session import checkpointed, fan_out
+from ..session import checkpointed, fan_out, stored
 from ..sources.vocab import vocab_from_pairs, with_specials
 from . import views as v
 from .registry import query
@@ -198,6 +201,91 @@ def merge_candidates(spark, d):
     return vm.evaluate_candidates(marked_vocabs(with_rank), groups, {g: 0 for g, _ in groups}, words, lines)
 
 
+#: Subword vocabularies of a language: its characters, and so many pieces of several characters.
+SUBWORD_SIZES = (200, 1000, 5000)
+
+
+def subword_vocabs(spark, d):
+    """Three subword vocabularies for each language, named <lang>_<rank>, from one list of seeds per language."""
+    counts = stored(v.lang_counts(spark, d).select("lang", F.concat(F.lit(WORD_START), "token").alias("word"), "cnt"), "lang_words")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    parts = []
+    for i, lang in enumerate(langs):
+        seeds = unigram.seed_pieces(counts.where(F.col("lang") == lang).select("word", "cnt"), max(SUBWORD_SIZES), LONGEST)
+        parts.append(seeds.select(F.lit(lang).alias("grp"), F.lit(i).alias("o"), "piece", "cnt"))
+    seeds = stored(reduce(DataFrame.unionByName, parts), "lang_seeds")
+    totals = seeds.groupBy("grp").agg(F.sum("cnt").alias("total"))
+    single = F.length("piece") == 1
+    # At most as many rows for each language as its largest vocabulary has.
+    rank = F.row_number().over(Window.partitionBy("grp", single).orderBy((F.col("cnt") * F.length("piece")).desc(), "piece"))
+    ranked = seeds.withColumn("rank", F.when(single, 0).otherwise(rank)).join(F.broadcast(totals), "grp")
+    sized = ranked.select("*", F.posexplode(F.array(*map(F.lit, SUBWORD_SIZES))).alias("r", "n")).where("rank <= n")
+    pieces = sized.select(
+        F.concat_ws("_", "grp", "r").alias("tokenizer"), (F.col("o") * len(SUBWORD_SIZES) + F.col("r")).alias("tok_ord"), "grp",
+        (F.col("rank") + 1).alias("piece_id"), "piece", F.ln(F.col("cnt") / F.col("total")).alias("score"), F.lit("NORMAL").alias("type"),
+    )
+    heads = pieces.select("tokenizer", "tok_ord", "grp").distinct()
+    unknown = heads.select("*", F.lit(0).alias("piece_id"), F.lit("<unk>").alias("piece"), F.lit(0.0).alias("score"), F.lit("UNKNOWN").alias("type"))
+    return stored(pieces.unionByName(unknown), "subwords")
+
+
+def _round_sql(i: int) -> str:
+    """Candidates of a round: scores, best splits of all words, sizes and metrics."""
+    return f"""
+scored{i} AS (SELECT cand, piece, ln(sum(exp(score)) / (SELECT count(*) FROM ords)) AS score FROM tok JOIN ptr{i} USING (lang, r) GROUP BY cand, piece),
+edges{i} AS MATERIALIZED (SELECT cand, word, CAST(s AS BIGINT) AS s, CAST(s + n - 1 AS BIGINT) AS e, score FROM cuts JOIN scored{i} ON piece = substr(word, s, n)),
+best{i} AS (
+  SELECT cand, word, CAST(0 AS BIGINT) AS e, [0.0::DOUBLE] AS bests, [0] AS ns FROM every, (SELECT DISTINCT cand FROM ptr{i})
+  UNION ALL
+  SELECT b.cand, b.word, b.e + 1, list_append(any_value(b.bests), max(b.bests[g.s] + g.score)),
+    list_append(any_value(b.ns), arg_max(b.ns[g.s] + 1, b.bests[g.s] + g.score))
+  FROM best{i} b JOIN edges{i} g ON g.cand = b.cand AND g.word = b.word AND g.e = b.e + 1 GROUP BY b.cand, b.word, b.e),
+solved{i} AS (SELECT cand, word, ns[-1] AS n FROM best{i} WHERE e = length(word)),
+totals{i} AS (SELECT cand, lang, sum(n * cnt) AS total FROM marked JOIN solved{i} USING (word) GROUP BY cand, lang),
+metric{i} AS (SELECT cand, avg(total / n_lines) AS metric FROM totals{i} JOIN line_counts USING (lang) GROUP BY cand),
+size{i} AS (SELECT cand, count(*) + 1 AS size FROM scored{i} GROUP BY cand)"""
+
+
+@query("q_merge_subwords", f"""WITH RECURSIVE {v.WORDS_SQL}, {v.LINES_SQL},
+marked AS (SELECT lang, '▁' || token AS word, count(*) AS cnt FROM words GROUP BY lang, token),
+every AS (SELECT DISTINCT word FROM marked),
+line_counts AS (SELECT src AS lang, count(*) AS n_lines FROM lines GROUP BY src),
+starts AS (SELECT lang, word, cnt, unnest(range(1, length(word) + 1)) AS s FROM marked),
+subs AS (SELECT lang, cnt, unnest(list_transform(range(1, least({LONGEST}, length(word) - s + 1) + 1), lambda n: substr(word, s, n))) AS piece FROM starts),
+sub_counts AS (SELECT lang, piece, CAST(sum(cnt) AS BIGINT) AS cnt FROM subs GROUP BY lang, piece),
+ranked AS (
+  SELECT lang, piece, cnt, 0 AS rk FROM sub_counts WHERE length(piece) = 1
+  UNION ALL
+  SELECT lang, piece, cnt, row_number() OVER (PARTITION BY lang ORDER BY cnt * length(piece) DESC, piece) AS rk FROM sub_counts WHERE length(piece) > 1 AND cnt > 1),
+kept AS (SELECT lang, piece, rk, ln(cnt / sum(cnt) OVER (PARTITION BY lang)) AS score FROM ranked WHERE rk <= {max(SUBWORD_SIZES)}),
+tok AS (SELECT lang, t.r, piece, score FROM kept JOIN (VALUES {', '.join(f'({r}, {n})' for r, n in enumerate(SUBWORD_SIZES))}) t(r, n) ON rk <= n),
+ords AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS o FROM (SELECT DISTINCT lang FROM marked)),
+mostly AS (SELECT max(length(piece)) AS m FROM kept),
+cuts AS (SELECT word, s, unnest(range(1, least((SELECT m FROM mostly), length(word) - s + 1) + 1)) AS n FROM (SELECT word, unnest(range(1, length(word) + 1)) AS s FROM every)),
+ptr1 AS (SELECT c.o AS cand, g.lang, CASE WHEN c.o = g.o THEN 1 ELSE 0 END AS r FROM ords c, ords g),{_round_sql(1)},
+winner AS (SELECT cand AS w FROM metric1 ORDER BY round(metric, 9), cand LIMIT 1),
+ptr2 AS (SELECT c.o AS cand, g.lang, CASE WHEN c.o = g.o THEN 1 ELSE 0 END + CASE WHEN g.o = w THEN 1 ELSE 0 END AS r FROM ords c, ords g, winner),{_round_sql(2)}
+SELECT 1 AS round, cand, lang AS grp, size, round(metric, 9) AS metric FROM metric1 JOIN size1 USING (cand) JOIN ords ON o = cand
+UNION ALL SELECT 2, cand, lang, size, round(metric, 9) FROM metric2 JOIN size2 USING (cand) JOIN ords ON o = cand""")
+def merge_subwords(spark, d):
+    """Two rounds of the greedy merge over subword vocabularies: every candidate with its size and metric."""
+    vocabs = subword_vocabs(spark, d)
+    ranks = vm.ranked_groups(vocabs)
+    vocabs = stored(vocabs.join(F.broadcast(ranks.select("tokenizer", "size_rank")), "tokenizer"), "ranked")
+    names = sorted(r["grp"] for r in ranks.select("grp").distinct().collect())
+    groups, pointers = [(g, len(SUBWORD_SIZES)) for g in names], dict.fromkeys(names, 0)
+    uses = v.lang_counts(spark, d).groupBy(F.concat(F.lit(WORD_START), "token").alias("word")).agg(F.collect_list(F.struct(F.col("lang").alias("src"), "cnt")).alias("uses"))
+    words = stored(uses, "uses")
+    lines = stored(v.document_lines(spark, d).groupBy("src").agg(F.count("*").alias("n_lines")), "line_counts")
+    metric = partial(vm.mean_sentence_length, prepared=vm.word_lattices(words, vocabs.where(F.col("type") == "NORMAL")))
+    rounds = []
+    for i in (1, 2):
+        found = stored(vm.evaluate_candidates(vocabs, groups, pointers, words, lines, metric).withColumn("metric", F.round("metric", 9)), "candidates")
+        rounds.append(found.select(F.lit(i).alias("round"), "cand", "grp", "size", "metric"))
+        pointers[vm.best_candidate(found).first()["grp"]] += 1
+    return rounds[0].unionByName(rounds[1])
+
+
 def lower_lines(spark, d):
     lines = v.document_lines(spark, d)
     return lines.select("src", "doc_id", "pos", F.lower("line").alias("line"))
