@@ -34,9 +34,9 @@ from .common import _arrow_schema, _slices, utf8, written
 from .tokens import _ODD, Encoder, _gather, _values, default_tokenizer
 
 #: Text taken at once; a longer text is one piece.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Stretches whose ids a task keeps for each tokenizer; beyond that it starts anew.
-KNOWN = 300_000
+KNOWN = 150_000
 
 
 def default_pieces() -> str:
