@@ -28,25 +28,39 @@ from .text_queries import LINE_KEY, START_LINES_SQL, source_documents
 from .vector_queries import word_tfidf
 
 
-@query("q_read_lines", f"WITH {v.LINES_SQL} SELECT src, line FROM lines")
+def in_files(docs):
+    """Documents with the name of a file of their language, for at most a hundred of them, in order."""
+    named = docs.withColumn("file", F.concat_ws("-", "lang", F.floor(F.col("doc_id") / 100)))
+    return named.repartition("file").sortWithinPartitions("file", "doc_id")
+
+
+NUMBERED_SQL = f"""SELECT lang || '-' || doc_id // 100 AS src,
+  row_number() OVER (PARTITION BY lang, doc_id // 100 ORDER BY doc_id, pos) - 1 AS line_no, line
+FROM (SELECT src AS lang, doc_id, pos, line FROM lines)"""
+
+
+@query("q_read_lines", f"WITH {v.LINES_SQL} {NUMBERED_SQL}")
 def read_lines(spark, d):
     path = scratch_path(spark, "lines")
-    v.documents(spark, d, "lang", "text").write.partitionBy("lang").text(path)
+    in_files(v.documents(spark, d, "doc_id", "lang", "text")).select("file", "text").write.partitionBy("file").text(path)
     lines = st.read_lines(spark, path)
-    return lines.select(F.regexp_extract("src", "lang=([^/]+)", 1).alias("src"), "line")
+    return lines.select(F.regexp_extract("src", "file=([^/]+)", 1).alias("src"), "line_no", "line")
 
 
-DOCUMENTS_SQL = rf"""SELECT lang AS cluster, array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '{v.STRIP}+$', '')), ' ') AS text
-FROM documents"""
+DOCUMENTS_SQL = rf"""SELECT lang || '-' || doc_id // 100 AS cluster,
+  row_number() OVER w - 1 AS doc_ord,
+  CAST(coalesce(sum(len(string_split(text, chr(10))) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS start_line,
+  array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '{v.STRIP}+$', '')), ' ') AS text
+FROM documents WINDOW w AS (PARTITION BY lang, doc_id // 100 ORDER BY doc_id)"""
 
 
 @query("q_read_documents", DOCUMENTS_SQL)
 def read_documents(spark, d):
     path = scratch_path(spark, "clusters")
-    docs = v.documents(spark, d, "lang", "text").select("lang", F.split("text", "\n").alias("lines"))
-    wr.write_clusters(docs, path, "lang")
+    docs = in_files(v.documents(spark, d, "doc_id", "lang", "text")).select("file", F.split("text", "\n").alias("lines"))
+    wr.write_clusters(docs, path, "file")
     back = st.read_documents(spark, path)
-    return back.select(F.regexp_extract("src", "cluster=([^/]+)", 1).alias("cluster"), "text")
+    return back.select(F.regexp_extract("src", "cluster=([^/]+)", 1).alias("cluster"), "doc_ord", "start_line", "text")
 
 
 def _pack(part: pd.DataFrame) -> pd.DataFrame:

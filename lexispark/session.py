@@ -85,7 +85,7 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     parts = df.rdd.getNumPartitions()
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    split = as_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     if parts >= cores or parts * split > SPREAD_BYTES:
         return df
     return df.repartition(cores)
@@ -95,7 +95,7 @@ def spread(df: DataFrame) -> DataFrame:
 SPREAD_BYTES = 2 << 30
 
 
-def _bytes(size: str) -> int:
+def as_bytes(size: str) -> int:
     """A setting such as 134217728b, 16m or 1g as a number."""
     units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
     number = size.lower().rstrip("b") or "0"

@@ -1,8 +1,7 @@
 """Line- and document-structured text files, with file and line provenance.
 
-Lines are numbered without a global sort: a text split reads its lines in order, so
-(file, start of the split, position in the split) is the order of the corpus. Positions are
-counted inside a split, which is bounded by the split size, and split totals are added up per file.
+Lines are numbered where they are read: a task reads a split in order and counts, and what precedes the split in its file
+comes from a first pass that sends counts only. Text is not shuffled for this.
 """
 
 from __future__ import annotations
@@ -12,44 +11,71 @@ import io
 import lzma
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text, strip_both, strip_right
 from ..operators.ordering import dense_index, running_total
-from ..session import checkpointed
+from ..session import as_bytes, checkpointed
+
+
+#: Tables of splits up to this size, some 400 MB, are sent to the tasks. Splits are counted as if all files were small.
+MOST_SPLITS = 4_000_000
 
 
 def _split_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """src, split (byte offset), seq (grows inside the split), value."""
+    """src, split (byte offset), value. A task reads its splits one after another, each in order."""
     raw = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
-    return raw.select(
-        F.col("_metadata.file_path").alias("src"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("seq"),
-        "value",
-    )
+    return raw.select(F.col("_metadata.file_path").alias("src"), F.col("_metadata.file_block_start").alias("split"), "value")
 
 
-def _count_before(rows: DataFrame, counts: dict[str, str]) -> DataFrame:
-    """For each flag column, add the number of flagged rows earlier in the file, and in the file."""
-    inside = Window.partitionBy("src", "split").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    per_split = rows.groupBy("src", "split").agg(*[F.sum(flag).alias(f"_n_{flag}") for flag in counts])
+def _split_starts(rows: DataFrame, flag: str) -> DataFrame:
+    """src, split, lines_before, before and total: lines and flagged lines earlier in the file, and flagged ones in the file."""
+    per_split = rows.groupBy("src", "split").agg(F.count("*").alias("_lines"), F.sum(F.col(flag).cast("long")).alias("_n"))
     earlier = Window.partitionBy("src").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("src")
-    starts = per_split.select(
-        "src",
-        "split",
-        *[F.coalesce(F.sum(f"_n_{flag}").over(earlier), F.lit(0)).alias(f"_start_{flag}") for flag in counts],
-        *[F.sum(f"_n_{flag}").over(whole).alias(f"total_{name}") for flag, name in counts.items()],
+    return per_split.select(
+        "src", "split", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("lines_before"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("before"), F.sum("_n").over(Window.partitionBy("src")).alias("total"),
     )
-    for flag in counts:
-        rows = rows.withColumn(f"_in_{flag}", F.coalesce(F.sum(flag).over(inside), F.lit(0)))
-    rows = rows.join(starts, ["src", "split"])
-    for flag, name in counts.items():
-        rows = rows.withColumn(name, F.col(f"_start_{flag}") + F.col(f"_in_{flag}"))
-    return rows.drop(*[f"_{kind}_{flag}" for flag in counts for kind in ("in", "start")])
+
+
+def _with_starts(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Join each row with what precedes its split. The table has a row per split, some hundred bytes for 128 MB of text.
+
+    Both passes are one plan, so they cut the files alike; the number of splits is bounded from the tasks of the scan.
+    """
+    conf = rows.sparkSession.conf
+    size, cost = (as_bytes(conf.get(f"spark.sql.files.{k}")) for k in ("maxPartitionBytes", "openCostInBytes"))
+    splits = rows.rdd.getNumPartitions() * max(1, size // max(1, cost))
+    return rows.join(F.broadcast(starts) if splits <= MOST_SPLITS else starts, ["src", "split"])
+
+
+def _runs(src: pa.Array, split: np.ndarray) -> Iterator[tuple[int, int, tuple]]:
+    """Stretches of a batch with one split: first and last row, and the split."""
+    names = src.dictionary_encode()
+    codes = names.indices.to_numpy()
+    cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(split) != 0)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(split)]):
+        if b > a:
+            yield a, b, (names.dictionary[codes[a]].as_py(), int(split[a]))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src, split, kept, line to src, split, place, line: kept lines with their number in the split."""
+    current, count = None, 0
+    for batch in batches:
+        kept = batch.column(2).to_numpy(zero_copy_only=False)
+        place = np.cumsum(kept) - kept
+        for a, b, key in _runs(batch.column(0), batch.column(1).to_numpy()):
+            if key != current:
+                current, count = key, 0
+            place[a:b] += count - place[a]
+            count += int(kept[a:b].sum())
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(place, pa.int64()), batch.column(3)], names=["src", "split", "place", "line"])
+        yield out.filter(pa.array(kept))
 
 
 def read_lines(
@@ -58,11 +84,20 @@ def read_lines(
     """src, line_no, line: right-stripped, numbered from 0 over the lines that are kept."""
     rows = _split_lines(spark, paths).withColumn("line", strip_right(F.col("value")))
     kept = (F.col("line") != "") if filter_empty else F.lit(True)
-    rows = _count_before(rows.withColumn("kept", kept.cast("long")), {"kept": "line_no"})
-    rows = rows.where(F.col("kept") == 1)
-    if max_lines:
-        rows = rows.where(F.col("line_no") < max_lines)
-    return rows.select("src", "line_no", "line")
+    rows = _in_order(rows.select("src", "split", kept.alias("kept"), "line"))
+    return rows.where(F.col("line_no") < max_lines) if max_lines else rows
+
+
+def raw_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """src, line_no, line: all lines as they are."""
+    return _in_order(_split_lines(spark, paths).select("src", "split", F.lit(True).alias("kept"), F.col("value").alias("line")))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """src, line_no, line of the kept rows of src, split, kept, line."""
+    numbered = rows.mapInArrow(_numbered, "src string, split long, place long, line string")
+    placed = _with_starts(numbered, _split_starts(rows, "kept"))
+    return placed.select("src", (F.col("before") + F.col("place")).alias("line_no"), "line")
 
 
 def document_blocks(lines: DataFrame, max_documents: int | None = None, keep_tail: bool = False) -> DataFrame:
@@ -85,15 +120,70 @@ def document_blocks(lines: DataFrame, max_documents: int | None = None, keep_tai
     )
 
 
+SEGMENTS = "src string, split long, number long, first long, lines array<string>, closed boolean"
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src, split, is_sep, line to the stretches between separators: number and first line in the split, and whether it ends there.
+
+    A stretch that is open at the end of its split, if it has lines, goes on in the next split.
+    """
+    current: tuple | None = None
+    number = first = row = 0
+    waiting: list[str] = []
+    for batch in batches:
+        out: dict[str, list] = {c.split()[0]: [] for c in SEGMENTS.split(", ")}
+
+        def add(closed: bool) -> None:
+            for name, x in zip(out, (*current, number, first, waiting, closed)):
+                out[name].append(x)
+
+        separators, lines = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_pylist()
+        for a, b, key in _runs(batch.column(0), batch.column(1).to_numpy()):
+            if key != current:
+                if waiting:
+                    add(False)
+                current, number, first, row, waiting = key, 0, 0, 0, []
+            start = a
+            for at in (np.flatnonzero(separators[a:b]) + a).tolist():
+                waiting = waiting + lines[start:at]
+                add(True)
+                number, first, start, waiting = number + 1, row + at - a + 1, at + 1, []
+            waiting = waiting + lines[start:b]
+            row += b - a
+        yield _segment_batch(out)
+    if waiting:
+        yield _segment_batch({name: [x] for name, x in zip((c.split()[0] for c in SEGMENTS.split(", ")), (*current, number, first, waiting, False))})
+
+
+def _segment_batch(rows: dict[str, list]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows.values(), types)], names=list(rows))
+
+
 def read_document_lines(
     spark: SparkSession, paths: str | Sequence[str], max_documents: int | None = None, keep_tail: bool = False
 ) -> DataFrame:
-    """Blank-line separated documents as arrays of right-stripped lines, with their start line."""
-    rows = _split_lines(spark, paths)
-    rows = rows.withColumn("is_sep", (F.col("value") == "").cast("long")).withColumn("one", F.lit(1).cast("long"))
-    rows = _count_before(rows, {"is_sep": "doc_ord", "one": "file_line"})
-    rows = rows.withColumn("line", strip_right(F.col("value")))
-    return document_blocks(rows, max_documents, keep_tail)
+    """Blank-line separated documents as arrays of right-stripped lines, with their start line.
+
+    Documents inside one split are put together where they are read. Those that lie across the bounds of splits are joined from
+    their parts, a few for each split: only these are shuffled.
+    """
+    raw = _split_lines(spark, paths)
+    rows = raw.select("src", "split", (F.col("value") == "").alias("is_sep"), strip_right(F.col("value")).alias("line"))
+    parts = _with_starts(rows.mapInArrow(_segments, SEGMENTS), _split_starts(rows, "is_sep"))
+    parts = parts.withColumn("doc_ord", F.col("before") + F.col("number"))
+    parts = parts.withColumn("start_line", F.col("lines_before") + F.col("first") + 1)
+    if not keep_tail:
+        parts = parts.where(F.col("doc_ord") < F.col("total"))
+    if max_documents:
+        parts = parts.where(F.col("doc_ord") < max_documents)
+    # A stretch behind a separator of its split, or at the start of the file, has no part in an earlier split.
+    whole = F.col("closed") & ((F.col("number") > 0) | (F.col("lines_before") == 0))
+    joined = parts.where(~whole).groupBy("src", "doc_ord").agg(
+        F.min("start_line").alias("start_line"), F.expr("flatten(sort_array(collect_list(struct(split, lines))).lines)").alias("lines")
+    )
+    return parts.where(whole).select("src", "doc_ord", "start_line", "lines").unionByName(joined)
 
 
 def read_documents(

@@ -20,16 +20,15 @@ def piece_type(piece: Column) -> Column:
 
 def _tsv_rows(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """Rows split at the last tab. The order is that of the file: see `sources.text`."""
-    from .text import _count_before, _split_lines
+    from .text import raw_lines
 
-    rows = _split_lines(spark, paths).withColumn("one", F.lit(1).cast("long"))
-    rows = _count_before(rows, {"one": "piece_id"})
+    rows = raw_lines(spark, paths)
     pattern = r"^([\s\S]*)\t([^\t]*)$"
     return rows.select(
         "src",
-        F.col("piece_id").cast("int").alias("piece_id"),
-        F.regexp_extract("value", pattern, 1).alias("piece"),
-        F.regexp_extract("value", pattern, 2).cast("double").alias("score"),
+        F.col("line_no").cast("int").alias("piece_id"),
+        F.regexp_extract("line", pattern, 1).alias("piece"),
+        F.regexp_extract("line", pattern, 2).cast("double").alias("score"),
     )
 
 

@@ -1,4 +1,5 @@
 import lzma
+import re
 
 import pytest
 
@@ -70,6 +71,21 @@ def test_lines(spark, tmp_path, small_splits):
     assert st.read_lines(spark, path, max_lines=0).count() == 51
 
 
+def test_text_is_not_shuffled(spark, tmp_path, small_splits):
+    """Lines are numbered in the scan; of documents only those across the bounds of splits are moved."""
+    paths = [write(tmp_path / f"f{i}.txt", t) for i, t in enumerate(TEXTS)]
+    for read in (st.read_lines, st.read_document_lines):
+        plan = read(spark, paths)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        # Counts of splits by file, and parts of documents; no line goes through an exchange.
+        keys = re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)
+        moved = {re.sub(r"#\d+L?", "", k) for k in keys}
+        assert moved <= {"src", "src, split", "src, doc_ord"} and (read is st.read_document_lines or "src, doc_ord" not in moved)
+    docs = st.read_document_lines(spark, paths).cache()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    assert sorted(map(str, docs.collect())) == sorted(map(str, st.read_document_lines(spark, paths).collect()))
+
+
 def test_xz(spark, tmp_path):
     body = " a \nb\n \n\n" + "long " * 300000 + "\r\n\r\n\nc\rd\n\nlost"
     path = tmp_path / "d.xz"
