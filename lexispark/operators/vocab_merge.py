@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_text, space_words
+from ..functions.text import has_text
 from ..session import checkpointed, fan_out, stored
 from .lattice import Block, Lattices, block_of, lattices
 from .ordering import dense_index, exact_sample
@@ -229,11 +229,13 @@ def greedy_merge(
     while size < target and any(pointers[g] + 1 < n for g, n in groups):
         if sample_lines and rounds:
             words, line_counts = data(len(rounds))
+            _release(measure)
             measure = prepared(words)
         best = best_candidate(evaluate_candidates(ordered, groups, pointers, words, line_counts, measure)).first()
         pointers[best["grp"]] += 1
         size = best["size"]
         rounds.append((best["grp"], best["metric"], size))
+    _release(measure)
     reached = size >= target
     if rounds and extra_step:
         last = rounds[-1][0]
@@ -242,6 +244,11 @@ def greedy_merge(
     return MergeResult(trim(merged, target) if reached else merged, rounds, reached)
 
 
+def _release(metric: Metric) -> None:
+    if isinstance(metric, partial) and "prepared" in metric.keywords:
+        metric.keywords["prepared"][0].done()
+
+
 def _group_order(groups: Sequence[tuple[str, int]]):
     order = F.lit(len(groups))
     for i, (g, _) in enumerate(groups):
