@@ -77,17 +77,17 @@ def baseline_delta(spark, d):
     return rounded(deltas, "value", "value_baseline", "value_delta")
 
 
-@query("q_family_delta", plain_zero(f"""WITH {v.RESULTS_SQL}, named AS (SELECT model || '_' || seed AS model, lang_src, lang_tgt, value FROM results WHERE lang_src = lang_tgt),
-base AS (SELECT lang_tgt, avg(value) AS b FROM named WHERE model = '{v.BASELINE}_2001' GROUP BY lang_tgt),
-deltas AS (SELECT n.*, value - b AS value_delta FROM named n LEFT JOIN base USING (lang_tgt))
-SELECT family, model, lang_src, lang_tgt, round(value, 9) AS value, round(value_delta, 9) AS value_delta
+@query("q_family_delta", plain_zero(f"""WITH {REGIME_SQL}, named AS (SELECT regime, model || '_' || seed AS model, lang_src, lang_tgt, value FROM regimes),
+base AS (SELECT regime, lang_src, lang_tgt, avg(value) AS b FROM named WHERE model = '{v.BASELINE}_2001' GROUP BY ALL),
+deltas AS (SELECT n.*, value - b AS value_delta FROM named n LEFT JOIN base USING (regime, lang_src, lang_tgt))
+SELECT family, regime, model, lang_src, lang_tgt, round(value, 9) AS value, round(value_delta, 9) AS value_delta
 FROM deltas JOIN (VALUES ('1-'), ('2-'), ('HIGH'), ('LOW')) f(family) ON contains(model, family) OR contains(model, 'MEDIUM')
 WHERE (SELECT count(DISTINCT model) FROM named) > 6""", "value_delta"))
 def family_delta(spark, d):
-    rows = by_regime(spark, d, "in").withColumn("model", F.concat_ws("_", "model", "seed")).drop("seed")
-    deltas = rs.delta_over_baseline(rows, f"{v.BASELINE}_2001", ["lang_tgt"])
+    rows = by_regime(spark, d).withColumn("model", F.concat_ws("_", "model", "seed")).drop("seed")
+    deltas = rs.delta_over_baseline(rows, f"{v.BASELINE}_2001", ["regime", "lang_src", "lang_tgt"])
     views = rs.family_views(deltas, ["1-", "2-", "HIGH", "LOW"], "MEDIUM")
-    return rounded(views, "value", "value_delta").select("family", "model", "lang_src", "lang_tgt", "value", "value_delta")
+    return rounded(views, "value", "value_delta").select("family", "regime", "model", "lang_src", "lang_tgt", "value", "value_delta")
 
 
 ADJUSTED = ("in", "en_other", "cross")
