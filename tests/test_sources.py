@@ -141,3 +141,14 @@ def test_resources(spark):
     rows = spark.createDataFrame([("a", 999_999), ("b", 2_500_000)], "src string, n_lines long")
     got = st.resources_for(rows).orderBy("src").select("memory_gb", "cpus").collect()
     assert [tuple(r) for r in got] == [(15, 1), (35, 3)]
+
+
+def test_stream_counter_reads_a_table_in_parts(spark, tmp_path):
+    from lexispark.plans.io_queries import stream_counter
+
+    rows = [(i, f"word w{i} {'again ' * i}", "en", "web", 9) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs.write.parquet(str(tmp_path / "documents_old.parquet"))
+    got = {r["token"]: r["cnt"] for r in stream_counter(spark, str(tmp_path)).collect()}
+    assert got == {"word": 5, "again": 10, **{f"w{i}": 1 for i in range(5)}}
