@@ -93,3 +93,28 @@ def test_pooling(spark):
     words = spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "k long, w int")
     got = {(r["k"], r["w"]): r["pooled"] for r in vz.pool_all_words(words, df, "k", "w", "v", 2).collect()}
     assert got == {(0, 0): [4.0, 6.0], (0, 1): [0.0, 0.0], (1, 0): [5.0, 6.0]}
+
+
+def test_neighbors_copy_rows_by_block_not_by_cell():
+    rng = np.random.default_rng(4)
+    pivots = rng.normal(size=(512, 6))
+    between = cl.distances(pivots, pivots)
+    size = np.full(512, 4)
+    size[7] = 5000
+    order = nb._chain(between)
+    first, parts = nb._blocks(order, size, 1024)
+    assert sorted(order) == list(range(512))
+    # 2,044 rows of small cells fill two or three blocks, the big cell has five of its own.
+    assert int((first + parts).max()) <= 9 and parts[7] == 5 and not np.isin(np.delete(first, 7), first[7] + np.arange(5)).any()
+
+
+def test_neighbors_without_anything_to_prune(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 24))
+    x[100:140] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    got = nb.nearest_neighbors(df, "id", "v", 5, 64).toPandas().sort_values(["id", "rank"])
+    dist = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 9)
+    np.fill_diagonal(dist, np.inf)
+    want = np.array([sorted(range(len(x)), key=lambda j: (dist[i, j], j))[:5] for i in range(len(x))])
+    assert np.array_equal(got["neighbor"].to_numpy().reshape(-1, 5), want)
