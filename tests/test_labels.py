@@ -171,3 +171,21 @@ def test_resampling_weights(spark):
     share = {r["w"]: r["count"] / 50_000 for r in rows}
     for k in range(4):
         assert abs(share[k] - math.exp(-1) / math.factorial(k)) < 0.01
+
+
+def test_entity_scores_next_to_chunks_by_column(spark):
+    """Counts of a batch equal those of the chunks that the column expression finds in each row."""
+    import random
+
+    rng = random.Random(1)
+    tags = ["O", "B-PER", "I-PER", "E-PER", "S-LOC", "I-LOC", "B", "I", "B-a-b"]
+    rows = [([rng.choice(tags) for _ in range(n)], [rng.choice(tags) for _ in range(n)]) for n in (0, 1, 2, 3, 9, 30, 0, 17, 200)]
+    df = spark.createDataFrame(rows, "t array<string>, p array<string>").coalesce(1)
+    got = {r["type"]: r for r in sc.entity_scores(df, "t", "p").collect()}
+    found = df.select(sc.chunks(F.col("t")).alias("g"), sc.chunks(F.col("p")).alias("h")).collect()
+    for name in {e["type"] for r in found for c in r for e in c}:
+        gold = {(i, *e) for i, r in enumerate(found) for e in r["g"] if e["type"] == name}
+        guess = {(i, *e) for i, r in enumerate(found) for e in r["h"] if e["type"] == name}
+        assert got[name]["support"] == len(gold) and abs(got[name]["precision"] - len(gold & guess) / max(1, len(guess))) < 1e-12
+    pairs = [x == y for t, p in rows for x, y in zip(t, p)]
+    assert got["overall"]["support"] == sum(len(r["g"]) for r in found) and abs(got["overall"]["accuracy"] - sum(pairs) / len(pairs)) < 1e-12
