@@ -449,3 +449,26 @@ def test_unigram_queries_use_whole_seed_vocabularies(spark, tmp_path, monkeypatc
     assert all(r["n_tokens"] == 4 for r in model_queries.encode_unigram(spark, str(tmp_path)).collect())
     monkeypatch.setattr(unigram, "train_unigram", lambda words, size, **limits: (size, limits))
     assert model_queries.train_unigram(spark, str(tmp_path)) == (2000, {})
+
+
+def test_substring_counts_over_ranges(spark):
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("aab▁é😀") for _ in range(rng.randint(1, 24))) for _ in range(400)})
+    counts = [rng.randint(1, 4) for _ in words]
+    want = {}
+    for w, c in zip(words, counts):
+        for a in range(len(w)):
+            for b in range(a + 1, min(len(w), a + 16) + 1):
+                want[w[a:b]] = want.get(w[a:b], 0) + c
+    want = {p: n for p, n in want.items() if n > 1 or len(p) == 1}
+    df = spark.createDataFrame(list(zip([*words, ""], [*counts, 5])), "word string, cnt long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = unigram.substring_counts(df, 16).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == len(want) and {r["piece"]: r["cnt"] for r in rows} == want
+
+
+def test_a_million_seeds_and_all_characters_are_sent_to_tasks():
+    assert segment.MAX_BROADCAST_PIECES > unigram.SEED_SIZE + 100_000
