@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.rows import explode_rows
 from .scoring import IGNORED
@@ -49,32 +55,65 @@ def align_labels(
 
     The first piece of a word carries its label, the others the ignored label or, with
     `label_all_pieces`, the inside label. `first_piece` gives each position the position of the
-    first piece of its word.
+    first piece of its word. All sequences of a batch are aligned as one array.
     """
-    rows = df.withColumn("_labels", labels.scalar())
-    room = F.lit(max_length - 2)
-    # Every word that counts has a piece, so no more words than `room` can matter.
-    words = F.zip_with(tags, n_pieces, lambda t, n: F.struct(t.alias("tag"), n.alias("n")))
-    rows = rows.withColumn("_words", F.slice(F.filter(words, lambda w: w["n"] > 0), F.lit(1), room))
-
-    def of_word(w: Column) -> Column:
-        first = label_id(F.col("_labels"), w["tag"])
-        rest = inside_id(F.col("_labels"), w["tag"]) if label_all_pieces else F.lit(IGNORED)
-        return F.concat(F.array(first), F.array_repeat(rest, w["n"] - 1))
-
-    special = F.array(F.lit(IGNORED))
-    starts = F.aggregate(
-        F.col("_words.n"),
-        F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at")),
-        lambda s, n: F.struct(
-            (s["next"] + n).alias("next"), F.concat(s["at"], F.array_repeat(s["next"], n)).alias("at")
-        ),
-        lambda s: s["at"],
-    )
-    rows = rows.withColumn("_piece_labels", F.slice(F.flatten(F.transform("_words", of_word)), F.lit(1), room))
-    rows = rows.withColumn("_starts", F.slice(starts, F.lit(1), room))
-    return (
-        rows.withColumn("label_ids", F.concat(special, F.col("_piece_labels"), special))
-        .withColumn("first_piece", F.concat(F.array(F.lit(0)), F.col("_starts"), F.array(F.size("_starts") + 1)))
-        .drop("_labels", "_words", "_piece_labels", "_starts")
-    )
+    # The distinct labels are few.
+    known = list(labels.first()[0])
+    ids = [pa.int32(), pa.list_(pa.int32())]
+    out = StructType([*df.schema.fields, *(StructField(c, ArrayType(IntegerType())) for c in ("label_ids", "first_piece"))])
+    at = [df.columns.index(c) for c in (tags, n_pieces)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, counts = (batch.column(i) for i in at)
+            coded = words.flatten().dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            # The label of a first piece and of the others, by tag; a null tag has a null label.
+            first = pa.array([*(_place(known, n) for n in names), None], ids[0])
+            rest = pa.array([*(_inside_place(known, n) if label_all_pieces else IGNORED for n in names), None if label_all_pieces else IGNORED], ids[0])
+            tag = coded.indices.fill_null(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (words, counts)]
+            begin = [np.cumsum(n) - n for n in size]
+            n = counts.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), size[1])
+            place = np.arange(len(n)) - begin[1][row]
+            own = place < size[0][row]
+            tags_at = np.full(len(n), len(names), np.int64)
+            tags_at[own] = tag[(begin[0][row] + place)[own]]
+            # Words without pieces do not count; those past the room are not looked at.
+            use = n > 0
+            row, n, tags_at = row[use], np.minimum(n[use], max_length), tags_at[use]
+            before = np.cumsum(n) - n
+            new = np.flatnonzero(np.diff(row, prepend=-1))
+            start = before - np.repeat(before[new], np.diff(np.append(new, len(row))))
+            kept = np.clip(max_length - 2 - start, 0, n)
+            word = np.repeat(np.arange(len(row)), kept)
+            inner = np.arange(len(word)) - np.repeat(np.cumsum(kept) - kept, kept)
+            label = pc.if_else(pa.array(inner == 0), first.take(pa.array(tags_at[word])), rest.take(pa.array(tags_at[word])))
+            pieces = np.bincount(row[word], minlength=batch.num_rows).astype(np.int64)
+            bounds = np.concatenate([[0], np.cumsum(pieces + 2)])
+            # All places of a batch: a special one, the pieces, a special one.
+            middle = np.ones(bounds[-1], bool)
+            middle[bounds[:-1]] = middle[bounds[1:] - 1] = False
+            order = np.full(bounds[-1], len(label), np.int64)
+            order[middle] = np.arange(len(label))
+            label_ids = pa.concat_arrays([label, pa.array([IGNORED], ids[0])]).take(pa.array(order))
+            pointers = np.zeros(bounds[-1], np.int32)
+            pointers[middle] = start[word] + 1
+            pointers[bounds[1:] - 1] = pieces + 1
+            missing = pc.or_(words.is_null(), counts.is_null())
+            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v, ids[0])) for v in (label_ids, pointers)]
+            lists = [pc.if_else(missing, pa.scalar(None, ids[1]), x) for x in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=out.names)
+
+    return df.mapInArrow(run, out)
+
+
+def _place(labels: list[str], tag: str | None) -> int | None:
+    return None if tag is None else labels.index(tag) if tag in labels else -1
+
+
+def _inside_place(labels: list[str], tag: str | None) -> int | None:
+    """As `inside_id`, of a value."""
+    inside = tag and tag.replace("B-", "I-")
+    return _place(labels, inside if tag and tag.startswith("B-") and inside in labels else tag)

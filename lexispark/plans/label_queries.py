@@ -10,6 +10,7 @@ from ..operators import examples as ex
 from ..operators import labels as lb
 from ..operators import scoring as sc
 from ..operators.ordering import dense_index
+from ..session import checkpointed
 from . import views as v
 from .registry import query
 
@@ -139,10 +140,11 @@ SELECT src, doc_id, pos, '-100 ' || string_agg(CASE WHEN j = 0 THEN label_id ELS
   '-100 ' || string_agg(CASE WHEN j = 0 THEN label_id ELSE inside_id END, ' ' ORDER BY spot) || ' -100' AS all_label_ids,
   '0 ' || string_agg(first_at, ' ' ORDER BY spot) || ' ' || (max(spot) + 1) AS first_piece FROM cut GROUP BY ALL""")
 def label_align(spark, d):
-    seqs = v.sequences(spark, d)
-    labels = lb.label_array(seqs, "tags")
+    seqs = v.sequences(spark, d).select("src", "doc_id", "pos", "tokens", "tags")
+    # Read for both kinds of labels.
+    labels = checkpointed(lb.label_array(seqs, "tags"))
     counts = F.transform("tokens", lambda w: F.ceil(F.length(w) / 4).cast("int"))
-    rows = seqs.withColumn("n_pieces", counts)
+    rows = seqs.select("src", "doc_id", "pos", "tags", counts.alias("n_pieces"))
     plain = lb.align_labels(rows, "tags", "n_pieces", labels, 64)
     both = lb.align_labels(plain.withColumnsRenamed({"label_ids": "plain", "first_piece": "first"}), "tags", "n_pieces", labels, 64, True)
     return both.select(

@@ -189,3 +189,31 @@ def test_entity_scores_next_to_chunks_by_column(spark):
         assert got[name]["support"] == len(gold) and abs(got[name]["precision"] - len(gold & guess) / max(1, len(guess))) < 1e-12
     pairs = [x == y for t, p in rows for x, y in zip(t, p)]
     assert got["overall"]["support"] == sum(len(r["g"]) for r in found) and abs(got["overall"]["accuracy"] - sum(pairs) / len(pairs)) < 1e-12
+
+
+def test_align_labels_of_a_batch_next_to_plain_python(spark):
+    import random
+
+    rng = random.Random(2)
+    names = ["B-A", "B-B", "I-A", "O"]
+    rows = [(i, [rng.choice([*names, None, "X"]) for _ in range(n)], [rng.choice([0, 1, 2, 5, 40, None]) for _ in range(n)]) for i, n in enumerate((0, 3, 1, 30, 0, 9, 12, 200))]
+    rows += [(8, None, [1]), (9, ["O"], None)]
+    df = spark.createDataFrame(rows, "i int, t array<string>, n array<int>").coalesce(1)
+    labels = spark.createDataFrame([(names,)], "labels array<string>")
+
+    def place(t):
+        return None if t is None else names.index(t) if t in names else -1
+
+    for every in (False, True):
+        got = {r["i"]: (r["label_ids"], r["first_piece"]) for r in lb.align_labels(df, "t", "n", labels, 20, every).collect()}
+        for i, tags, counts in rows:
+            if tags is None or counts is None:
+                assert got[i] == (None, None)
+                continue
+            ids, first = [], []
+            for t, n in zip(tags, counts):
+                inside = place("I-A" if t == "B-A" else t) if every else -100
+                at = len(ids) + 1
+                ids += ([place(t)] + [inside] * (n - 1)) if n else []
+                first += [at] * (n or 0)
+            assert got[i] == ([-100, *ids[:18], -100], [0, *first[:18], len(first[:18]) + 1])
