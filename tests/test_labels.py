@@ -217,3 +217,17 @@ def test_align_labels_of_a_batch_next_to_plain_python(spark):
                 ids += ([place(t)] + [inside] * (n - 1)) if n else []
                 first += [at] * (n or 0)
             assert got[i] == ([-100, *ids[:18], -100], [0, *first[:18], len(first[:18]) + 1])
+
+
+def test_token_ids_hash_each_word(spark, tmp_path):
+    """Ids of a batch with empty lines, repeated words and other scripts are those of each word."""
+    from hashlib import md5
+
+    from lexispark.plans import views
+
+    texts = {0: "a b  a\n\n 　\né 😀 b\n", 1: "", 2: "a", 3: None}
+    rows = [(i, t, "en", "web", 1) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["pos"]): r["ids"] for r in views.token_ids(spark, str(tmp_path)).collect()}
+    slot = lambda w: int(md5(w.encode()).hexdigest()[:6], 16) % 30000 + 5
+    assert got == {(0, 0): [slot("a"), slot("b"), slot("a")], (0, 3): [slot("é"), slot("😀"), slot("b")], (2, 0): [slot("a")]}
