@@ -437,6 +437,25 @@ def test_svd(spark):
     assert np.isclose(ratio, np.var(dense @ axes, axis=0).sum() / np.var(dense, axis=0).sum())
 
 
+def test_svd_sends_a_vector_per_term_of_a_block(spark, monkeypatch):
+    """Blocks of documents are multiplied in place; documents that come twice add up."""
+    monkeypatch.setattr(decompose, "BLOCK_POSTINGS", 200)
+    rng = np.random.default_rng(1)
+    dense = rng.random((50, 3)) @ rng.random((3, 12)) + 0.5
+    rows = [(i % 40, list(range(12)), r.tolist()) for i, r in enumerate(dense)] + [(99, [], [])]
+    df = spark.createDataFrame(rows, "doc long, ids array<long>, weights array<double>")
+    blocks = decompose._Blocks.of(df, "doc")
+    n_blocks = blocks.rows.select("block").distinct().count()
+    assert 1 < n_blocks <= 3 and blocks.needs.count() == 12 * n_blocks
+    blocks.rows.unpersist()
+    emb, values, _ = decompose.truncated_svd(df, "doc", 12, 2, iterations=1)
+    merged = dense[:40].copy()
+    merged[:10] += dense[40:]
+    assert np.allclose(values, np.linalg.svd(merged)[1][:2], rtol=1e-4)
+    got = emb.collect()
+    assert len(got) == 51 and {r["doc"] for r in got if not any(r["embedding"])} == {99}
+
+
 def test_unigram_queries_use_whole_seed_vocabularies(spark, tmp_path, monkeypatch):
     """A repeated word of 13 characters, the mark included, is one piece; training keeps the operator's number of seeds."""
     from lexispark.plans import model_queries
