@@ -262,13 +262,15 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
         for batch in batches:
             for part, block, doc_ids, sizes, data in zip(*(batch.column(i) for i in range(5))):
                 ids = code.unpack(data.as_py())
-                at, rows = 0, []
-                for doc_id, size in zip(doc_ids.as_py(), sizes.as_py()):
-                    own = ids[at : at + size]
-                    row = {"part": part.as_py(), "block": block.as_py(), "doc_id": doc_id, "before": at, "n_tokens": size, "ids_crc32": zlib.crc32(own.astype("<u4").tobytes())}
-                    rows.append(row | ({"ids": own.tolist()} if with_ids else {}))
-                    at += size
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                ends = np.cumsum(np.asarray(sizes.values))
+                bounds = np.concatenate([[0], ends])
+                raw = memoryview(ids.astype("<u4", copy=False).tobytes())
+                digests = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds.tolist(), ends.tolist())]
+                columns = [pa.repeat(part, len(ends)), pa.repeat(block, len(ends)), doc_ids.values, pa.array(bounds[:-1]), sizes.values, pa.array(digests, pa.int64())]
+                if with_ids:
+                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
+                    columns.append(lists.cast(arrow.field("ids").type))
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     found = stored.mapInArrow(run, schema).join(starts, ["part", "block"])
     return found.withColumn("start", F.col("start") + F.col("before")).select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

@@ -9,6 +9,7 @@ same either way (tested).
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.space = chr(self.letters[0x20])
+        self.signs = {b: c for b, c in self.letters.items() if b}  # words are joined by 0
         self.end = end_id
         self._forget()
 
@@ -59,39 +61,46 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.stored = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1, np.int64)
-        self._add([("", [])])
-        self._add([("\x01", [self.end])])
+        self._add(["", "\x01"], [self.end], [0, 1])
 
-    def _add(self, found: list[tuple[str, list[int]]]) -> None:
+    def _add(self, pieces: list[str], ids: list[int], sizes: list[int]) -> None:
         base = len(self.at) - 1
-        self.known.update((piece, base + i) for i, (piece, _) in enumerate(found))
-        ends = self.at[-1] + np.cumsum([len(ids) for _, ids in found], dtype=np.int64)
-        self.at = np.concatenate([self.at, ends])
+        self.known.update(zip(pieces, range(base, base + len(pieces))))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.array(sizes, np.int64))])
         while self.at[-1] > len(self.stored):
             self.stored = np.concatenate([self.stored, np.zeros_like(self.stored)])
-        self.stored[self.at[base] : self.at[-1]] = np.fromiter((i for _, ids in found for i in ids), np.uint32)
+        self.stored[self.at[base] : self.at[-1]] = ids
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array([*e.ids, self.end], np.uint32) for e in found]
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of letters, with a space before them or not: one piece for the merges of the model."""
-        if word.isascii():  # letters stand for themselves, and only the space has another sign
-            letters = self.space + word[1:] if word[0] == " " else word
-        else:
-            letters = word.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(letters)]
+    def _words(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of runs of letters, with a space before them or not, and their numbers: each is one piece for the merges of the model."""
+        tokenize = self.model.tokenize
+        # Letters of ASCII stand for themselves, and only the space has another sign.
+        signs = "\x00".join(words)
+        signs = signs.replace(" ", self.space) if signs.isascii() else signs.encode().decode("latin-1").translate(self.signs)
+        ids, sizes = [], []
+        for word in signs.split("\x00") if words else []:
+            own = [t.id for t in tokenize(word)]
+            ids += own
+            sizes.append(len(own))
+        return ids, sizes
 
     def _numbers(self, pieces: list[str], words: list[bool]) -> np.ndarray:
         """The number of each piece; those met for the first time are encoded. words: which are letters only."""
         found = list(map(self.known.get, pieces))
         if None in found:
             new = {p: w for p, w, n in zip(pieces, words, found) if n is None}
-            self._add([(p, self._word(p)) for p, w in new.items() if w])
-            others = [p for p, w in new.items() if not w]
-            self._add([(p, e.ids) for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False))])
-            found = [self.known[p] if n is None else n for p, n in zip(pieces, found)]
+            basic, letters, others = [], [], []
+            for p, w in new.items():
+                (others if not w else basic if p.isascii() else letters).append(p)
+            self._add(basic, *self._words(basic))
+            self._add(letters, *self._words(letters))
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+            self._add(others, list(chain.from_iterable(lists)), list(map(len, lists)))
+            found = list(map(self.known.__getitem__, pieces))
         return np.array(found, np.int64)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -113,9 +122,13 @@ class Encoder:
         # A word and the closing punctuation behind it are encoded apart.
         body = pc.utf8_rtrim(coded.dictionary, characters=_CLOSING)
         word = pc.match_substring_regex(body, _LATIN)
-        heads, pieces = _values(pc.if_else(word, body, coded.dictionary)), _values(coded.dictionary)
-        tails = [p[len(h) :] for p, h in zip(pieces, heads)]
-        numbers = np.stack([self._numbers(heads, _values(word)), self._numbers(tails, [False] * len(tails))], 1).ravel()
+        heads = pc.if_else(word, body, coded.dictionary)
+        cut_off = np.flatnonzero(pc.not_equal(pc.binary_length(heads), pc.binary_length(coded.dictionary)))
+        tails = [p[len(h) :] for h, p in zip(_values(heads.take(cut_off)), _values(coded.dictionary.take(cut_off)))]
+        numbers = np.zeros((len(heads), 2), np.int64)  # piece 0 is empty
+        numbers[:, 0] = self._numbers(_values(heads), _values(word))
+        numbers[cut_off, 1] = self._numbers(tails, [False] * len(tails))
+        numbers = numbers.ravel()
         ids, ends = _gather(self.stored, self.at[numbers], self.at[numbers + 1] - self.at[numbers])
         ends = np.concatenate([[0], ends[1::2]])
         which = coded.indices.to_numpy()

@@ -107,6 +107,16 @@ def test_components(spark):
     assert all(got[a] == got[b] <= min(a, b) for a, b in links if a != b)
 
 
+def test_new_words_are_encoded_as_one_list():
+    encoder = Encoder()
+    words = [" word", "word", "étude", " Überzug", "x"]
+    ids, sizes = encoder._words(words)
+    want = [encoder.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert sizes == list(map(len, want)) and ids == [i for w in want for i in w] and encoder._words([]) == ([], [])
+    texts = ["étude (word), word!", "x word", "", "x"] * 2
+    assert [i.tolist() for i in encoder.encode(pa.array(texts))] == [i.tolist() for i in encoder.whole(texts)]
+
+
 # --- tokens, Huffman code, packing
 
 def test_encoder_is_the_tokenizer():
