@@ -202,7 +202,7 @@ def fitted_tables(spark, d):
     """Weights, term table and a clustering model, written and read back."""
     path = scratch_path(spark, "fitted")
     weights, frequency = word_tfidf(spark, d)
-    wr.write_table(weights, f"{path}/tfidf")
+    wr.write_table(vz.long_weights(weights, "doc_id"), f"{path}/tfidf")
     wr.write_table(vz.term_table(frequency), f"{path}/terms")
     rows = v.embeddings(spark, d)
     labelled, model = clustering.kmeans(rows, "embedding", 10, starts=2)

@@ -118,3 +118,33 @@ def test_neighbors_without_anything_to_prune(spark):
     np.fill_diagonal(dist, np.inf)
     want = np.array([sorted(range(len(x)), key=lambda j: (dist[i, j], j))[:5] for i in range(len(x))])
     assert np.array_equal(got["neighbor"].to_numpy().reshape(-1, 5), want)
+
+
+@pytest.mark.parametrize("most", [0, 2, 100])
+def test_weights_by_document_equal_those_by_posting(spark, monkeypatch, most):
+    from lexispark.operators.counting import document_counts, token_counts
+
+    monkeypatch.setattr(vz, "MOST_TERMS", most)
+    rows = [(0, ["a", "b", "b"]), (1, ["a", "c", "d"]), (1, ["c", "e"]), (None, ["a", "d"]), (None, ["b"]), (2, []), (3, None), (4, ["zz", "b", "f"]), (5, ["only"])]
+    docs = spark.createDataFrame(rows, "doc long, words array<string>").repartition(3)
+    n = spark.range(9).agg(F.count("*"))
+    long = token_counts(docs, ["doc"], "words").cache()
+    by_doc = document_counts(docs, "doc", F.col("words")).cache()
+    assert sorted(map(str, long.collect())) == sorted(map(str, by_doc.select("doc", F.explode(F.arrays_zip("tokens", "counts")).alias("z")).select("doc", F.col("z.tokens").alias("token"), F.col("z.counts").alias("cnt")).collect()))
+    frequency = vz.document_frequency(long, n, 1, 0.5).where("token <> 'only'").cache()
+    assert sorted(map(str, vz.document_frequency(by_doc, n, 1, 0.5).where("token <> 'only'").collect())) == sorted(map(str, frequency.collect()))
+    old, new = vz.tfidf(long, frequency, "doc"), vz.tfidf(by_doc, frequency, "doc").cache()
+    ordered = [[(r["doc"], r["token"], round(r["weight"], 9)) for r in w.orderBy("doc", "token").collect()] for w in (old, vz.long_weights(new, "doc"))]
+    assert ordered[0] == ordered[1] and len(ordered[0]) == 12 and new.count() == 4
+    terms = vz.term_table(frequency)
+    sparse = [[(r["doc"], r["ids"], [round(x, 9) for x in r["weights"]]) for r in vz.sparse_rows(w, terms, "doc").orderBy("doc").collect()] for w in (old, new)]
+    assert sparse[0] == sparse[1]
+
+
+def test_postings_of_common_terms_are_not_shuffled(spark):
+    from lexispark.operators.counting import document_counts
+
+    docs = spark.range(50).select("id", F.array(*[F.lit(f"w{i}") for i in range(20)]).alias("words"))
+    frequency = spark.createDataFrame([(f"w{i}", 50, 1.0) for i in range(20)], "token string, df long, idf double")
+    plan = vz.tfidf(document_counts(docs, "id", F.col("words")), frequency, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
