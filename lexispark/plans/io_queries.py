@@ -66,7 +66,8 @@ def read_documents(spark, d):
 def _pack(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values("doc_id")
     body = "".join(f"{text}\n\n" for text in part["text"]).encode("utf-8")
-    return pd.DataFrame({"src": [part["name"].iloc[0]], "content": [lzma.compress(body)]})
+    # The fast preset: packing took two thirds of the query's task seconds with the default one.
+    return pd.DataFrame({"src": [part["name"].iloc[0]], "content": [lzma.compress(body, preset=1)]})
 
 
 @query("q_read_xz", rf"""SELECT source || '/' || doc_id // 100 AS src,

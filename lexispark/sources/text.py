@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_text, strip_both, strip_right
+from ..functions.text import has_text, strip_right
 from ..operators.ordering import dense_index, running_total
-from ..session import as_bytes, checkpointed
+from ..session import as_bytes
 
 
 #: Tables of splits up to this size, some 400 MB, are sent to the tasks. Splits are counted as if all files were small.
@@ -210,36 +210,40 @@ def documents_from_lines(lines: DataFrame, order: str, bucket_width: int = 100_0
 _BLOCK = 1 << 20
 
 
-def _unpack(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Decode xz contents as a stream: only one block of plain text is held at a time.
+def _plain_lines(src: str, content: bytes) -> Iterator[list[str]]:
+    """Lines of an xz file, decoded as a stream: only one block of plain text is held at a time.
 
     As in text mode, a line ends at a line feed, a carriage return or both.
     """
+    decoder, rest, data = lzma.LZMADecompressor(), "", content
+    text = io.IncrementalNewlineDecoder(codecs.getincrementaldecoder("utf-8")(), translate=True)
+    while True:
+        plain = decoder.decompress(data, max_length=_BLOCK)
+        data = b""
+        if decoder.eof and decoder.unused_data:
+            data, decoder = decoder.unused_data, lzma.LZMADecompressor()
+            finished = False
+        else:
+            finished = decoder.eof
+        parts = (rest + text.decode(plain, final=finished)).split("\n")
+        rest = parts.pop()
+        if finished and rest:
+            parts.append(rest)
+        if parts:
+            yield parts
+        if finished:
+            return
+        if not plain and not data and decoder.needs_input:
+            raise EOFError(f"{src} ends before its xz stream does")
+
+
+def _unpack(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in files:
         for src, content in zip(batch["src"], batch["content"]):
-            decoder, rest, number = lzma.LZMADecompressor(), "", 0
-            text = io.IncrementalNewlineDecoder(codecs.getincrementaldecoder("utf-8")(), translate=True)
-            data = content
-            while True:
-                plain = decoder.decompress(data, max_length=_BLOCK)
-                data = b""
-                if decoder.eof and decoder.unused_data:
-                    data, decoder = decoder.unused_data, lzma.LZMADecompressor()
-                    finished = False
-                else:
-                    finished = decoder.eof
-                parts = (rest + text.decode(plain, final=finished)).split("\n")
-                rest = parts.pop()
-                if finished and rest:
-                    parts.append(rest)
-                if parts:
-                    numbers = range(number, number + len(parts))
-                    number += len(parts)
-                    yield pd.DataFrame({"src": src, "file_line": numbers, "line": parts})
-                if finished:
-                    break
-                if not plain and not data and decoder.needs_input:
-                    raise EOFError(f"{src} ends before its xz stream does")
+            number = 0
+            for parts in _plain_lines(src, content):
+                yield pd.DataFrame({"src": src, "file_line": range(number, number + len(parts)), "line": parts})
+                number += len(parts)
 
 
 def unpack_xz(files: DataFrame) -> DataFrame:
@@ -247,6 +251,26 @@ def unpack_xz(files: DataFrame) -> DataFrame:
     return files.select("src", "content").mapInPandas(_unpack, "src string, file_line long, line string")
 
 
+def _unpack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src, content to src, doc_ord, start_line, lines: what stands before each empty line, stripped on both sides."""
+    for batch in batches:
+        for src, content in zip(batch.column(0), batch.column(1)):
+            number, row, first, waiting = 0, 0, 1, []
+            for parts in _plain_lines(src.as_py(), content.as_py()):
+                ords, starts, lines = [], [], []
+                for line in parts:
+                    row += 1
+                    if line:
+                        waiting.append(line.strip())
+                    else:
+                        ords.append(number)
+                        starts.append(first)
+                        lines.append(waiting)
+                        number, first, waiting = number + 1, row + 1, []
+                columns = [pa.repeat(src, len(ords)), pa.array(ords, pa.int64()), pa.array(starts, pa.int64()), pa.array(lines, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["src", "doc_ord", "start_line", "lines"])
+
+
 def read_documents_xz(spark: SparkSession, paths: str | Sequence[str], max_docs: int | None = None) -> DataFrame:
     """Documents of xz files, at most `max_docs` of each; an empty line separates, the others are stripped on both sides."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths) if not isinstance(paths, str) else paths)
@@ -254,9 +278,11 @@ def read_documents_xz(spark: SparkSession, paths: str | Sequence[str], max_docs:
 
 
 def documents_from_xz(files: DataFrame, max_docs: int | None = None) -> DataFrame:
-    """As above from (src, content). With a limit of 0, a file still gives its first document if its first line is empty."""
-    # The lines are read several times; they are decoded once.
-    docs = documents_from_lines(checkpointed(unpack_xz(files)), "file_line", strip=strip_both)
+    """As above from (src, content). With a limit of 0, a file still gives its first document if its first line is empty.
+
+    A file is read by one task anyway, so its documents are put together there and no line is shuffled.
+    """
+    docs = files.select("src", "content").mapInArrow(_unpack_documents, "src string, doc_ord long, start_line long, lines array<string>")
     if max_docs is None:
         return docs
     if max_docs == 0:

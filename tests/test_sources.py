@@ -97,6 +97,15 @@ def test_xz(spark, tmp_path):
     assert st.read_documents_xz(spark, str(path), 0).count() == 0
 
 
+def test_xz_documents_are_not_shuffled(spark):
+    bodies = {"x": "\n a\u2003\nb\n\n\n" + "line \n" * 400000 + "\nlost", "y": "", "z": "c\r\n\r\n"}
+    files = spark.createDataFrame([(k, lzma.compress(b.encode())) for k, b in bodies.items()], "src string, content binary")
+    docs = st.documents_from_xz(files)
+    got = {(r["src"], r["doc_ord"]): (r["start_line"], r["lines"]) for r in docs.collect()}
+    assert got == {("x", 0): (1, []), ("x", 1): (2, ["a", "b"]), ("x", 2): (5, []), ("x", 3): (6, ["line"] * 400000), ("z", 0): (1, ["c"])}
+    assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_xz_limit_zero_reads_one_line(spark, tmp_path):
     path = tmp_path / "e.xz"
     path.write_bytes(lzma.compress(b"\na\n\n"))
