@@ -28,7 +28,10 @@ MOST_SPLITS = 4_000_000
 
 def _split_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """src, split (byte offset), value. A task reads its splits one after another, each in order."""
-    raw = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
+    return _placed(spark.read.text(list(paths) if not isinstance(paths, str) else paths))
+
+
+def _placed(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("src"), F.col("_metadata.file_block_start").alias("split"), "value")
 
 
@@ -167,11 +170,18 @@ def read_document_lines(
     """Blank-line separated documents as arrays of right-stripped lines, with their start line.
 
     Documents inside one split are put together where they are read. Those that lie across the bounds of splits are joined from
-    their parts, a few for each split: only these are shuffled.
+    their parts, a few for each split: only these are shuffled. Files that are too small to be cut are read once, larger ones
+    once more for the starts of their splits and once more for such parts.
     """
-    raw = _split_lines(spark, paths)
-    rows = raw.select("src", "split", (F.col("value") == "").alias("is_sep"), strip_right(F.col("value")).alias("line"))
-    parts = _with_starts(rows.mapInArrow(_segments, SEGMENTS), _split_starts(rows, "is_sep"))
+    raw = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
+    # No split has fewer bytes than this unless its file ends, so files of this size are never cut.
+    least = min(as_bytes(spark.conf.get(f"spark.sql.files.{k}")) for k in ("maxPartitionBytes", "openCostInBytes"))
+    uncut = _segmented(_placed(raw.where(F.col("_metadata.file_size") <= least)))
+    uncut = uncut.where(F.lit(keep_tail) | F.col("closed")).select("src", F.col("number").alias("doc_ord"), (F.col("first") + 1).alias("start_line"), "lines")
+    if max_documents:
+        uncut = uncut.where(F.col("doc_ord") < max_documents)
+    raw = _placed(raw.where(F.col("_metadata.file_size") > least))
+    parts = _with_starts(_segmented(raw), _split_starts(raw.select("src", "split", (F.col("value") == "").alias("is_sep")), "is_sep"))
     parts = parts.withColumn("doc_ord", F.col("before") + F.col("number"))
     parts = parts.withColumn("start_line", F.col("lines_before") + F.col("first") + 1)
     if not keep_tail:
@@ -183,7 +193,12 @@ def read_document_lines(
     joined = parts.where(~whole).groupBy("src", "doc_ord").agg(
         F.min("start_line").alias("start_line"), F.expr("flatten(sort_array(collect_list(struct(split, lines))).lines)").alias("lines")
     )
-    return parts.where(whole).select("src", "doc_ord", "start_line", "lines").unionByName(joined)
+    return uncut.unionByName(parts.where(whole).select("src", "doc_ord", "start_line", "lines")).unionByName(joined)
+
+
+def _segmented(raw: DataFrame) -> DataFrame:
+    rows = raw.select("src", "split", (F.col("value") == "").alias("is_sep"), strip_right(F.col("value")).alias("line"))
+    return rows.mapInArrow(_segments, SEGMENTS)
 
 
 def read_documents(

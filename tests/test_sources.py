@@ -50,6 +50,36 @@ def test_documents_over_many_splits(spark, tmp_path, small_splits):
             start += len(lines) + 1
 
 
+def _rows_scanned(plan):
+    """Rows that the file scans of an executed plan gave."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _rows_scanned(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _rows_scanned(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if name == "FileSourceScanExec" else 0
+    children = plan.children()
+    return own + sum(_rows_scanned(children.apply(i)) for i in range(children.size()))
+
+
+def test_small_files_are_read_once(spark, tmp_path):
+    paths = [write(tmp_path / f"f{i}.txt", t) for i, t in enumerate(TEXTS)]
+    docs = st.read_document_lines(spark, paths)
+    got = docs.collect()
+    assert _rows_scanned(docs._jdf.queryExecution().executedPlan()) == sum(len(t.removesuffix("\n").split("\n")) for t in TEXTS)
+    # Between these bounds some files are cut and some are not.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "9")
+    try:
+        for tail in (False, True):
+            cut = sorted(map(str, st.read_document_lines(spark, paths, keep_tail=tail).collect()))
+            assert len(cut) == len(got) + (4 if tail else 0) and (tail or cut == sorted(map(str, got)))
+            assert st.read_document_lines(spark, paths, 1, tail).count() == (5 if tail else 4)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_document_limits(spark, tmp_path):
     path = write(tmp_path / "d.txt", "a\nb\n\nc\n\n")
     assert st.read_documents(spark, path, 1).collect()[0]["text"] == "a b"
