@@ -120,3 +120,16 @@ def test_sorted_counts_and_unknown(spark):
     assert ct.unknown_count(dense, ["g"]).first()["n_unknown"] == 4
     pruned = ct.prune_rare(dense, 2, ["g"]).collect()
     assert [(r["piece"], r["new_id"]) for r in pruned] == [("c", 0)]
+
+
+def test_rare_token_counts(spark, monkeypatch):
+    from lexispark.operators import counting as ct
+
+    rows = [("a", ["x", "y", "x"]), (None, ["x"]), ("b", []), ("a", ["y", "z"]), ("b", None), (None, ["x", "w"]), ("c", ["x y", ""])]
+    df = spark.createDataFrame(rows, "k string, w array<string>").repartition(3)
+    want = sorted(map(str, ct.token_counts(df, ["k"], "w").collect()))
+    got = ct.rare_token_counts(df, "k", "w")
+    assert sorted(map(str, got.collect())) == want
+    # Nothing is summed before the shuffle but the tokens of a batch.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "HashAggregate" not in plan.split("== Initial Plan ==")[-1].split("Exchange", 1)[1]
