@@ -133,3 +133,14 @@ def test_rare_token_counts(spark, monkeypatch):
     # Nothing is summed before the shuffle but the tokens of a batch.
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "HashAggregate" not in plan.split("== Initial Plan ==")[-1].split("Exchange", 1)[1]
+
+
+def test_tallied_words_are_put_together_by_batch(spark):
+    from lexispark.operators import counting as ct
+
+    rows = [(["x", "y", "x"],), ([],), (None,), (["y", "▁ä", ""],)]
+    df = spark.createDataFrame(rows, "w array<string>").repartition(2)
+    got = ct.tallied(df, "w")
+    assert got.columns == ["token", "cnt"]
+    assert {(r["token"], r["cnt"]) for r in got.collect()} == {("x", 2), ("y", 2), ("▁ä", 1), ("", 1)}
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
