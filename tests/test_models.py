@@ -491,3 +491,26 @@ def test_substring_counts_over_ranges(spark):
 
 def test_a_million_seeds_and_all_characters_are_sent_to_tasks():
     assert segment.MAX_BROADCAST_PIECES > unigram.SEED_SIZE + 100_000
+
+
+@pytest.mark.parametrize("sent, scores_sent", [(1_200_000, 8_000_000), (1_200_000, 0), (3, 0)])
+def test_lattices_in_tasks_equal_joined_ones(spark, monkeypatch, sent, scores_sent):
+    """Words meet the pieces where they are, without a shuffle of their substrings; with more pieces than are sent, by a join."""
+    monkeypatch.setattr(lattice, "BLOCK", 3)
+    monkeypatch.setattr(lattice, "MAX_BROADCAST_PIECES", sent)
+    monkeypatch.setattr(lattice, "MAX_SENT_SCORES", scores_sent)
+    words, df, scores, pieces = toy(spark)
+    numbers = pieces.select("pid", "piece")
+    several = pieces.where(F.length("piece") > 1).select(F.col("piece").alias("word"), F.lit(1.0).alias("cnt"), F.col("pid").alias("own"))
+    table, others = lattice.lattices(df, numbers, 4), lattice.lattices(several, numbers, 4)
+    assert (table.ids is not None) == (sent > 3)
+    assert sorted(w for r in table.blocks.collect() for w in r["word"]) == sorted(words)
+    # A piece without a score is no piece in this pass, and the word that it is has no loss.
+    without = checkpointed(pieces.where("piece <> 'bab'"))
+    del scores["bab"]
+    want, likelihood = plain_step(words, scores, math.log)
+    new, got, _ = unigram.em_step(table, without, sparse=False)
+    assert math.isclose(got, likelihood, rel_tol=1e-9)
+    assert {r["piece"]: r["score"] for r in new.collect()} == pytest.approx(want, rel=1e-7)
+    losses = {r["piece"]: r["loss"] for r in unigram.prune_losses(table, others, without).collect()}
+    assert losses.keys() == scores.keys() and losses["a"] == math.inf and losses["aba"] > -math.inf
