@@ -13,11 +13,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_text
+from ..functions.text import WORD_START, has_text, space_words
 from ..session import checkpointed, fan_out, stored
+from .counting import rare_token_counts
 from .lattice import Block, Lattices, block_of, lattices
 from .ordering import dense_index, exact_sample
-from .segment import UNKNOWN_PENALTY, distinct_words
+from .segment import UNKNOWN_PENALTY
 
 def merged_scores(vocabs: DataFrame, by: Sequence[str] = (), log_scores: bool = True) -> DataFrame:
     """by, piece, score, first_ord, first_id for the union of the ordinary pieces.
@@ -96,7 +97,8 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
 def corpus_words(lines: DataFrame, source: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Distinct words with their counts per source, and the number of lines per source."""
     kept = lines.where(has_text(F.col(text)))
-    per_source = distinct_words(kept, text, [source]).withColumnRenamed(source, "src")
+    counts = rare_token_counts(kept, source, space_words(F.col(text)))
+    per_source = counts.select(F.col(source).alias("src"), F.concat(F.lit(WORD_START), "token").alias("word"), "cnt")
     words = per_source.groupBy("word").agg(F.collect_list(F.struct("src", "cnt")).alias("uses"))
     return words, kept.groupBy(F.col(source).alias("src")).agg(F.count("*").alias("n_lines"))
 
