@@ -514,3 +514,35 @@ def test_lattices_in_tasks_equal_joined_ones(spark, monkeypatch, sent, scores_se
     assert {r["piece"]: r["score"] for r in new.collect()} == pytest.approx(want, rel=1e-7)
     losses = {r["piece"]: r["loss"] for r in unigram.prune_losses(table, others, without).collect()}
     assert losses.keys() == scores.keys() and losses["a"] == math.inf and losses["aba"] > -math.inf
+
+
+def test_svd_removes_the_tables_of_finished_steps(spark):
+    """Of the vectors of all steps only the last ones and the products are left in the shared folder."""
+    import os
+
+    from lexispark.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rng = np.random.RandomState(3)
+    rows = [(i, sorted(rng.choice(40, 6, False).tolist()), rng.rand(6).tolist()) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<long>, weights array<double>")
+    embedded, values, terms = decompose.truncated_svd(df, "doc_id", 40, 3)
+    assert embedded.count() == 50 and terms.count() == len({t for _, ids, _ in rows for t in ids}) and len(values) == 3
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"vectors", "products"}
+    assert len(set(os.listdir(folder)) - before) == 2
+
+
+def test_term_rows_are_written_without_a_shuffle_of_their_own(spark, tmp_path):
+    """Rows of terms are read from a table, of each document one, those without terms included."""
+    from lexispark.plans.model_queries import lsa_input
+
+    texts = ["red green blue", "red green", "blue yellow", "yellow red pink", "", None]
+    docs = spark.createDataFrame([(i, "en", "s", t) for i, t in enumerate(texts)], "doc_id long, lang string, source string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows, terms, _ = lsa_input(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan or "FileScan" in plan
+    ids = {r["term_id"]: r["token"] for r in terms.collect()}
+    found = {r["doc_id"]: {ids[i] for i in r["ids"]} for r in rows.collect()}
+    assert found == {i: set((t or "").split()) & {"red", "green", "blue", "yellow"} for i, t in enumerate(texts)}
